@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from occuspan.llm import components, quotas, survivors
+from occuspan.llm import components, digests, leakage, quotas, survivors, tokens
 
-_MODULES = (survivors, components, quotas)
+_MODULES = (digests, survivors, components, quotas, tokens, leakage)
 
 
 def queries() -> dict:
