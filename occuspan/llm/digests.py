@@ -55,10 +55,12 @@ def cluster(g: np.ndarray, x: np.ndarray, w: np.ndarray, delta: int = DELTA) ->
 
 
 def estimate(x: np.ndarray, w: np.ndarray, lo: float, hi: float, qs=QUANTILES) -> np.ndarray:
-    """Values at ``qs``: centroids stand at the middle of their weight, with the extremes at both ends; linear in between."""
-    n = w.sum()
-    mid = np.cumsum(w) - w / 2
-    return np.interp(np.asarray(qs) * n, np.r_[0, mid, n], np.r_[lo, x, hi])
+    """Values at ``qs``: a centroid of weight one is the value of its rank; elsewhere centroids stand at the middle of their weight, with the extremes at both ends, and the line between two gives the value."""
+    want = np.asarray(qs) * w.sum()
+    cum = np.cumsum(w)
+    at = np.minimum(np.searchsorted(cum, want - 1e-9), len(x) - 1)
+    line = np.interp(want, np.r_[0, cum - w / 2, cum[-1]], np.r_[lo, x, hi])
+    return np.where(w[at] == 1, x[at], line)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind=np.float32) -> pa.Array:
