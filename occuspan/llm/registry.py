@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from occuspan.llm import components, digests, leakage, quotas, survivors, tokens
+from occuspan.llm import components, digests, leakage, pii, quotas, survivors, tokens
 
-_MODULES = (digests, survivors, components, quotas, tokens, leakage)
+_MODULES = (digests, survivors, components, quotas, tokens, leakage, pii)
 
 
 def queries() -> dict:
