@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from occuspan.operators import intervals
+from occuspan.operators import aggregates, calling, filters, intervals, joins, motifs, occupancy, ordered
 
-_MODULES = (intervals,)
+_MODULES = (intervals, occupancy, filters, calling, aggregates, joins, ordered, motifs)
 
 
 def queries() -> dict:
