@@ -21,17 +21,7 @@ def cigar_blocks(reads: DataFrame) -> DataFrame:
     ``reads`` has ``read_id, ref_start, cigar array<struct<op,len>>``. The offsets are a fold over the array, so no
     shuffle takes place. Null and empty alignments give no blocks.
     """
-    ops = F.transform(F.col("cigar"), lambda c: F.struct(c["op"].alias("op"), c["len"].alias("len")))
-    start = F.struct(F.lit(0).alias("q"), F.col("ref_start").cast("int").alias("r"), F.array().cast("array<struct<op:int,len:int,q:int,r:int>>").alias("out"))
-
-    def step(acc, c):
-        return F.struct(
-            (acc["q"] + F.when(c["op"].isin(*_QUERY), c["len"]).otherwise(0)).alias("q"),
-            (acc["r"] + F.when(c["op"].isin(*_REF), c["len"]).otherwise(0)).alias("r"),
-            F.concat(acc["out"], F.array(F.struct(c["op"].alias("op"), c["len"].alias("len"), acc["q"].alias("q"), acc["r"].alias("r")))).alias("out"),
-        )
-
-    blocks = F.aggregate(ops, start, step, lambda a: a["out"])
+    blocks = _blocks(F.col("cigar"), F.col("ref_start"))
     return reads.select("read_id", F.posexplode(blocks).alias("k", "b")).select("read_id", "k", "b.*")
 
 
@@ -58,7 +48,9 @@ def call_variants(reads: DataFrame, ref: str, prom: tuple[int, int], bc: tuple[i
     """
     ps, pe = prom
     end = max(pe, bc[1]) if bc else pe
-    blocks = F.filter(_blocks(F.col("cigar"), F.col("ref_start")), lambda b: b["r"] <= end)
+    # each step is a projection of its own: what several expressions read is computed once
+    reads = reads.withColumn("_blocks", F.filter(_blocks(F.col("cigar"), F.col("ref_start")), lambda b: b["r"] <= end))
+    blocks = F.col("_blocks")
     seq, qual = F.col("seq"), F.col("qual")
     good = lambda q0, n: F.coalesce(F.array_min(F.slice(qual, q0 + 1, n)) >= min_quality, F.lit(True))
     ref_ = F.lit(ref)
@@ -79,25 +71,29 @@ def call_variants(reads: DataFrame, ref: str, prom: tuple[int, int], bc: tuple[i
             .otherwise(none)
         )
 
+    def spots(b):
+        lo, hi = F.greatest(b["r"], F.lit(bc[0])), F.least(b["r"] + b["len"], F.lit(bc[1]))
+        return F.when(b["op"].isin(EQ, X) & (lo < hi), F.sequence(b["q"] + lo - b["r"], b["q"] + F.greatest(lo, hi - 1) - b["r"])).otherwise(F.array().cast("array<int>"))
+
     covered = F.col("cigar").isNotNull() & F.col("ref_end").isNotNull() & (F.col("ref_start") <= pe) & (F.col("ref_end") > ps)
     forbidden = F.exists(blocks, lambda b: b["op"] == M)
-    status = F.when(~covered, "no_promoter_coverage").when(forbidden, "forbidden_cigar").otherwise("pass")
-    out = [F.col("read_id"), status.alias("status"), F.when(status == "pass", F.flatten(F.transform(blocks, ids))).otherwise(none).alias("var_ids")]
-    if bc:
-
-        def spots(b):
-            lo, hi = F.greatest(b["r"], F.lit(bc[0])), F.least(b["r"] + b["len"], F.lit(bc[1]))
-            return F.when(b["op"].isin(EQ, X) & (lo < hi), F.sequence(b["q"] + lo - b["r"], b["q"] + F.greatest(lo, hi - 1) - b["r"])).otherwise(F.array().cast("array<int>"))
-
-        at = F.flatten(F.transform(blocks, spots))
-        n = F.size(at)
-        state = (
-            F.when(status == "forbidden_cigar", "forbidden_cigar").when((status != "pass") | (n == 0), "no_barcode_coverage").when(n < bc_length[0], "barcode_too_short").when(n > bc_length[1], "barcode_too_long").otherwise("pass")
-        )
-        text = F.array_join(F.transform(at, lambda p: F.substring(seq, p + 1, F.lit(1))), "")
-        mean = F.aggregate(at, F.lit(0.0), lambda s, p: s + F.element_at(qual, p + 1)) / n
-        out += [F.when(state == "pass", text).alias("barcode"), F.when((state == "pass") & qual.isNotNull(), mean).alias("barcode_qual"), state.alias("bc_status")]
-    return reads.select(*out)
+    state0 = F.when(~covered, "no_promoter_coverage").when(forbidden, "forbidden_cigar").otherwise("pass")
+    busy = F.filter(blocks, lambda b: b["op"].isin(X, I, D))
+    step = reads.select("read_id", "seq", "qual", "_blocks", busy.alias("_busy"), state0.alias("status"))
+    blocks, status = F.col("_blocks"), F.col("status")
+    cols = ["read_id", "seq", "qual", "status", F.when(status == "pass", F.flatten(F.transform("_busy", ids))).otherwise(none).alias("var_ids")]
+    if not bc:
+        return step.select(*cols).drop("seq", "qual")
+    step = step.select(*cols, F.when(status == "pass", F.flatten(F.transform(blocks, spots))).otherwise(F.array().cast("array<int>")).alias("_at"))
+    at, n = F.col("_at"), F.size("_at")
+    state = (
+        F.when(status == "forbidden_cigar", "forbidden_cigar").when((status != "pass") | (n == 0), "no_barcode_coverage").when(n < bc_length[0], "barcode_too_short").when(n > bc_length[1], "barcode_too_long").otherwise("pass")
+    )
+    step = step.withColumn("bc_status", state)
+    ok = F.col("bc_status") == "pass"
+    text = F.array_join(F.transform(at, lambda p: F.substring(seq, p + 1, F.lit(1))), "")
+    mean = F.aggregate(at, F.lit(0.0), lambda s, p: s + F.element_at(qual, p + 1)) / n
+    return step.select("read_id", "status", "var_ids", F.when(ok, text).alias("barcode"), F.when(ok & qual.isNotNull(), mean).alias("barcode_qual"), "bc_status")
 
 
 def d1_neighbours(bc: Column) -> Column:
