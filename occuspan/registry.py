@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from occuspan.operators import aggregates, calling, filters, intervals, joins, motifs, occupancy, ordered
+from occuspan.operators import aggregates, barcode_clusters, calling, filters, intervals, joins, kernels, motifs, occupancy, ordered, pwm, quality
 
-_MODULES = (intervals, occupancy, filters, calling, aggregates, joins, ordered, motifs)
+_MODULES = (intervals, occupancy, filters, calling, aggregates, joins, ordered, motifs, barcode_clusters, kernels, pwm, quality)
 
 
 def queries() -> dict:
