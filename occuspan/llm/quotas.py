@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from occuspan.session import table
 
-#: ranges of the random key; a category is cut at a range before any sort, so no task sorts a whole category
-RANGES = 256
+#: a range of the random key is its top eight bits; a category is cut at a range before any sort, so no task sorts a whole category
+RANGE_SHIFT = 56
 
 
 def reads_of(tagged: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str,
     range in which the quota ends is ranked. Empty tables give empty results.
     """
     u, c = F.col(f"`{unit}`"), F.col(f"`{category}`")
-    rng = F.pmod(F.shiftright(key, 20), F.lit(RANGES)).cast("int")
+    rng = F.shiftright(key, RANGE_SHIFT).cast("int")
     keyed = rows.where(u.isNotNull() & c.isNotNull()).withColumns({"_u": u, "_c": c, "_k": key, "_r": rng})
     per_range = keyed.groupBy("_u", "_c", "_r").agg(F.count(F.lit(1)).alias("n"))
     have = per_range.groupBy("_u", "_c").agg(F.sum("n").alias("have"))

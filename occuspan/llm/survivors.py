@@ -69,7 +69,7 @@ def _accuracy(rows: list) -> dict[str, float]:
     return {r["source"]: min(0.99, max(0.05, r["acc"])) for r in rows}
 
 
-def _pair_counts(batches, n_sources: int):
+def _pair_counts(batches):
     """Per unordered pair of sources: items on which both say the same minority value, the same leading value, and unlike values."""
     tally: dict[tuple[int, int], list[float]] = {}
     for pdf in batches:
@@ -101,7 +101,35 @@ def fuse(claims: DataFrame, keys: list[str], source: str, value: str, rounds: in
     if len(sources) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     acc = {s: 0.8 for s in sources}
-    copy: dict[tuple[str, str], float] = {}
+    num = {s: i for i, s in enumerate(sources)}
+    code = F.create_map(*[x for s, i in num.items() for x in (F.lit(s), F.lit(i))]) if sources else None
+
+    def copies(judged: DataFrame, known: bool) -> dict[tuple[str, str], float]:
+        """Probability that two sources depend on each other; before values are judged, from their agreement alone."""
+        rows = judged.groupBy(*keys).agg(F.collect_list(F.struct(code[F.col("source")].alias("s"), "value")).alias("sv"), F.first("lead").alias("lead")).where(F.size("sv") > 1)
+        got = (
+            rows.select(F.col("sv.s").alias("srcs"), F.col("sv.value").alias("vals"), "lead")
+            .mapInPandas(lambda it: _pair_counts(it), "a int, b int, false_ double, true_ double, unlike double")
+            .groupBy("a", "b")
+            .agg(F.sum("false_").alias("f"), F.sum("true_").alias("t"), F.sum("unlike").alias("u"))
+            .collect()
+        )
+        out = {}
+        for r in got:
+            x, y = sources[r["a"]], sources[r["b"]]
+            e = 1 - (acc[x] + acc[y]) / 2
+            pf, pt = max(1e-6, e * e / n_false), max(1e-6, (1 - e) ** 2)
+            k = 0.8  # share of items copied by a copier
+            llr = r["u"] * math.log(1 - k)
+            if known:
+                llr += r["f"] * math.log((k * e + (1 - k) * pf) / pf) + r["t"] * math.log((k * (1 - e) + (1 - k) * pt) / pt)
+            else:
+                llr += (r["f"] + r["t"]) * math.log((k + (1 - k) * (pf + pt)) / (pf + pt))
+            odds = math.log(copy_prior / (1 - copy_prior)) + llr
+            out[(x, y)] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        return out
+
+    copy = copies(c.withColumn("lead", F.lit(None).cast("string")), False) if sources else {}
     out = None
     for turn in range(rounds):
         order = sorted(sources, key=lambda s: (-acc[s], s))
@@ -133,26 +161,7 @@ def fuse(claims: DataFrame, keys: list[str], source: str, value: str, rounds: in
             best = out.select(*keys, F.col("value").alias("lead"), "posterior")
             judged = c.join(best, keys)
             acc = _accuracy(judged.groupBy("source").agg(F.avg(F.when(F.col("value") == F.col("lead"), F.col("posterior")).otherwise((1 - F.col("posterior")) / n_false)).alias("acc")).collect())
-            num = {s: i for i, s in enumerate(sources)}
-            code = F.create_map(*[x for s, i in num.items() for x in (F.lit(s), F.lit(i))])
-            rows = judged.groupBy(*keys).agg(F.collect_list(code[F.col("source")]).alias("srcs"), F.collect_list("value").alias("vals"), F.first("lead").alias("lead")).where(F.size("srcs") > 1)
-            got = (
-                rows.select("srcs", "vals", "lead")
-                .mapInPandas(lambda it: _pair_counts(it, len(num)), "a int, b int, false_ double, true_ double, unlike double")
-                .groupBy("a", "b")
-                .agg(F.sum("false_").alias("f"), F.sum("true_").alias("t"), F.sum("unlike").alias("u"))
-                .collect()
-            )
-            copy = {}
-            for r in got:
-                a, b = sources[r["a"]], sources[r["b"]]
-                e = 1 - (acc[a] + acc[b]) / 2
-                pf, pt = max(1e-6, e * e / n_false), max(1e-6, (1 - e) ** 2)
-                pu = max(1e-6, 1 - pf - pt)
-                k = 0.8  # share of items copied by a copier
-                llr = r["f"] * math.log((k * e + (1 - k) * pf) / pf) + r["t"] * math.log((k * (1 - e) + (1 - k) * pt) / pt) + r["u"] * math.log(((1 - k) * pu) / pu)
-                odds = math.log(copy_prior / (1 - copy_prior)) + max(-700.0, min(700.0, llr))
-                copy[(a, b)] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+            copy = copies(judged, True)
     return out
 
 
