@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.session import table
+from occuspan.session import spread, table
 from occuspan.sources import views as V
 
 #: fixed values: alignment operations by their codes
@@ -129,14 +129,14 @@ def levenshtein_pairs(bcs: DataFrame, limit: int = 2) -> DataFrame:
     then computed; every pair within the limit shares one. Nulls are left out.
     """
     keys = deletions(F.col("barcode")) if limit == 1 else deletions2(F.col("barcode"))
-    k = bcs.where("barcode is not null").select("barcode").distinct().select("barcode", F.explode(keys).alias("key"))
+    k = spread(bcs.where("barcode is not null").select("barcode").distinct()).select("barcode", F.explode(keys).alias("key"))
     p = k.select("key", F.col("barcode").alias("a")).join(k.select("key", F.col("barcode").alias("b")), "key").where("a < b").select("a", "b").distinct()
     return p.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= limit)
 
 
 def _synthetic(spark, d) -> DataFrame:
     """Alignments made from lineitem: each line a short run of operations."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     q = F.col("l_quantity").cast("int")
     c = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
     cig = F.array(c(S, q % 5 + 1), c(EQ, q + 3), c(X, q % 3 + 1), c(I, q % 4 + 1), c(EQ, F.lit(20)), c(D, q % 6 + 1), c(EQ, q))

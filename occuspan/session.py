@@ -90,3 +90,13 @@ class Written:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     return Written(df).df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for steps whose cost is CPU and not bytes.
+
+    An input with enough partitions is left as it is, so large data isn't shuffled; a small file with one row group,
+    or a small shuffle that was coalesced, would else run in one task. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
