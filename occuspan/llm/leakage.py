@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occuspan.session import table
+from occuspan.session import spread, table
 
 #: words of a passage; words of a shift block
 PASSAGE, BLOCK = 12, 2
@@ -82,11 +82,11 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     left out; each pair comes once, however often rows repeat; whole texts are scanned, and other columns are ignored.
 
     The items are the stated query set: they are read in blocks whose text is at most ``BLOCK_BYTES``, so what a scan
-    ships to the executors is bounded, and all documents are scanned against each block. Documents aren't shuffled.
+    ships to the executors is bounded, and all documents are scanned against each block. Documents aren't shuffled, but for an input of fewer partitions than cores.
     """
     spark = docs.sparkSession
     q = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
-    d = docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
+    d = spread(docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t")))
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
     for r in q.toLocalIterator():

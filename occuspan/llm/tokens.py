@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occuspan.session import table
+from occuspan.session import spread, table
 
 #: folder of the vocabulary files; a parameter of every function that reads one
 VOCAB_DIR = os.environ.get("OCCUSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -180,7 +180,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocab: str) -> DataFrame:
     """``key, ids``: the ids (array<int>) of every row's text.
 
     A null or empty text has the empty list; a text of any length is encoded whole; repeated rows are encoded
-    again, each on its own; an empty table gives no rows. No shuffle: each batch is encoded where it is read.
+    again, each on its own; an empty table gives no rows. Each batch is encoded where it is read; only an input of fewer partitions than cores is dealt out first.
     ``vocab`` is the path of the ranks file, which every executor must see.
     """
 
@@ -190,7 +190,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocab: str) -> DataFrame:
             ids = [t.encode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    src = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
+    src = spread(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")))
     kind = src.schema[key].dataType.simpleString()
     return src.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
