@@ -101,6 +101,10 @@ def _codes(cols: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.unique(code, return_index=True)[1]
 
 
+#: rows of one task of the first pass, which bounds its memory at about 150 MB
+TASK_ROWS = 1_000_000
+
+
 def _runs(keys: list[str], metrics: dict[str, tuple[float, float]]):
     """Task over rows of ``id, keys, metrics`` of which all copies of an id are here: one row of sorted values for each group and metric."""
 
@@ -154,7 +158,9 @@ def sorted_runs(df: DataFrame, ident: str, keys: list[str], metrics: dict[str, t
     # a null id gets a number of its own below all real ones
     unique = F.coalesce(c.cast("long"), F.lit(-(1 << 62)) - F.monotonically_increasing_id()) if df.schema[ident].nullable else c.cast("long")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(unique.alias("_id"), *keys, *metrics).repartition(F.col("_id"))
+    # the number of rows comes from the files' footers; tasks of a bounded size need no more memory on larger tables
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    rows = df.select(unique.alias("_id"), *keys, *metrics).repartition(tasks, F.col("_id"))
     return rows.mapInArrow(_runs(keys, metrics), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", metric string, n long, vals array<float>")
 
 
