@@ -267,9 +267,42 @@ def null_percentiles(spark, d):
     return n.groupBy("bin_label").agg(F.count(F.lit(1)).alias("n"), p.alias("p")).select("bin_label", "n", F.round(F.col("p")[0], 9).alias("p50"), F.round(F.col("p")[1], 9).alias("p95"))
 
 
+def contig_nc_histogram(spark, d):
+    """Reads of each contig by nucleosome count, and their mean length."""
+    j = V.read_nc(spark, d).join(V.reads_meta(spark, d).select("read_id", "rname", "qlen"), "read_id")
+    return j.groupBy("rname", tags.classify_contig(F.col("rname")).alias("kind"), "nc").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("qlen"), 6).alias("mean_qlen"))
+
+
+def variants_per_read(spark, d):
+    """Histogram of the number of raw calls and of consensus calls of a read."""
+    c = V.calls(spark, d).where("pv is not null and pr is not null")
+    return c.groupBy(F.size(tags.variant_ids(F.col("pr"))).alias("n_raw"), F.size(tags.variant_ids(F.col("pv"))).alias("n_consensus")).agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+def metric_clamp(spark, d):
+    """Colour range of each library: the 99th percentile of absolute effects, with the share of values beyond it."""
+    c = V.cluster_rows(spark, d).select("library", F.abs("mean_signed_delta").alias("x")).where("x is not null")
+    top = c.groupBy("library").agg(F.percentile("x", F.lit(0.99)).alias("top"), F.count(F.lit(1)).alias("n"))
+    k = c.join(top, "library").groupBy("library").agg(F.count(F.when(F.col("x") > F.col("top"), 1)).alias("beyond"))
+    return top.join(k, "library").select("library", F.round("top", 9).alias("top"), "n", "beyond")
+
+
+def barcode_lengths(spark, d):
+    """Reads and distinct barcodes of each sample by barcode length, with the mean barcode quality."""
+    c = V.calls(spark, d).where("bc is not null")
+    return c.groupBy("sample_id", F.length("bc").alias("len")).agg(F.count(F.lit(1)).alias("n_reads"), F.countDistinct("bc").alias("n_barcodes"), F.round(F.avg("bq"), 9).alias("mean_bq"))
+
+
+def nc_by_tag(spark, d):
+    """Mean nucleosome count of reads by number of variants, unknown counts left out."""
+    c = with_ids(V.calls(spark, d)).where("nc >= 0")
+    return c.groupBy("sample_id", F.least(F.size("ids"), F.lit(2)).alias("n_variants")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("nc"), 9).alias("mean_nc"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        contig_nc_histogram, variants_per_read, metric_clamp, barcode_lengths, nc_by_tag,
         read_class_counts, variant_counts, variant_type_counts, titv, barcode_tag_counts, variants_report, consensus_variants, cluster_resolution, consensus_corrections,
         expected_coverage, stats_report, top_cluster, topk_variants, summary_pivot, secondary_freq, site_state, conditional_2x2, empirical_p, nc_ks_chi2, distance_decay, at_density, null_percentiles,
     )
@@ -289,6 +322,16 @@ st as (select m.read_id, m.variant_id, s.site_id, count(c.pos) / (any_value(s.b)
   from molecules m cross join site s left join coverage c on c.read_id = m.read_id and c.bin = s.bin and c.pos between s.a and s.b group by 1, 2, 3)"""
 
 ORACLES = {
+    "contig_nc_histogram": V.sql("read_nc reads_meta", "select rname, case rname when 'chr1' then 'genomic' when 'plasmidA' then 'plasmid' else 'skip' end as kind, nc, count(*) as n, round(avg(qlen), 6) as mean_qlen from read_nc join reads_meta using (read_id) group by 1, 2, 3"),
+    "variants_per_read": V.sql("calls", f"select len({V.ids_sql('pr')}) as n_raw, len({V.ids_sql('pv')}) as n_consensus, count(*) as n_reads from calls where pv is not null and pr is not null group by 1, 2"),
+    "metric_clamp": V.sql(
+        "cluster_rows",
+        """with x as (select library, abs(mean_signed_delta) as x from cluster_rows where mean_signed_delta is not null),
+t as (select library, quantile_cont(x, 0.99) as top, count(*) as n from x group by 1)
+select t.library, round(t.top, 9) as top, n, count(*) filter (x.x > t.top) as beyond from x join t on t.library = x.library group by 1, 2, 3, t.top""",
+    ),
+    "barcode_lengths": V.sql("calls", "select sample_id, length(bc) as len, count(*) as n_reads, count(distinct bc) as n_barcodes, round(avg(bq), 9) as mean_bq from calls where bc is not null group by 1, 2"),
+    "nc_by_tag": V.sql("calls", f"select sample_id, least(len(ids), 2) as n_variants, count(*) as n, round(avg(nc), 9) as mean_nc from (select sample_id, nc, {V.ids_sql('pv')} as ids from calls where pv is not null and nc >= 0) group by 1, 2"),
     "read_class_counts": V.sql("calls", f"with {_IDS} select sample_id, count(*) as n, count(*) filter (len(ids) = 0) as wt, count(*) filter (len(ids) = 1) as single, count(*) filter (len(ids) > 1) as multi, max(len(ids)) as most from x group by 1"),
     "variant_counts": V.sql(
         "calls",
