@@ -210,14 +210,18 @@ def conditional_2x2(spark, d):
 def empirical_p_of(observed: DataFrame, null: DataFrame, keys: list[str], value: str, draw: str) -> DataFrame:
     """(number of null draws at least as great + 1) / (draws + 1) of each observation; no draws give p = 1.
 
-    Draws are counted by value before the join, and a running sum from above gives the counts.
+    Draws are never sorted: each is placed among its key's distinct observations, and places are counted in every task
+    before the shuffle, so a key with very many draws costs what its observations cost. Null values are left out.
     """
-    n = null.where(F.col(draw).isNotNull()).groupBy(*keys, F.col(draw).alias("v")).agg(F.count(F.lit(1)).alias("k")).withColumn("_obs", F.lit(0))
-    o = observed.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.lit(0).cast("long").alias("k")).withColumn("_obs", F.lit(1))
-    both = n.select(*keys, F.col("v").cast("double").alias("v"), "k", "_obs").unionByName(o)
-    w = Window.partitionBy(*keys).orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
-    c = both.select(*keys, "v", "_obs", F.sum("k").over(w).alias("ge"), F.sum("k").over(Window.partitionBy(*keys)).alias("n"))
-    return c.where("_obs = 1").select(*keys, F.col("v").alias(value), ((F.col("ge") + 1) / (F.col("n") + 1)).alias("p"), "n")
+    o = observed.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(F.col(value).cast("double"))).alias("_obs"))
+    n = null.where(F.col(draw).isNotNull()).select(*keys, F.col(draw).cast("double").alias("_v"))
+    place = F.size(F.filter("_obs", lambda x: x <= F.col("_v")))
+    k = n.join(o, keys).select(*keys, place.alias("_r")).groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_k"))
+    k = k.groupBy(*keys).agg(F.collect_list(F.struct("_r", "_k")).alias("_places"), F.sum("_k").alias("n"))
+    each = o.select(*keys, F.posexplode("_obs").alias("_i", value)).join(k, keys, "left")
+    ge = F.aggregate(F.filter("_places", lambda x: x["_r"] > F.col("_i")), F.lit(0).cast("long"), lambda s, x: s + x["_k"])
+    total = F.coalesce("n", F.lit(0).cast("long"))
+    return each.select(*keys, value, ((F.coalesce(ge, F.lit(0)) + 1) / (total + 1)).alias("p"), total.alias("n"))
 
 
 def empirical_p(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +79,25 @@ def runs(df: DataFrame, keys: list[str], hot: Column, min_width: int) -> DataFra
 def fold_merge(df: DataFrame, keys: list[str], start: str, end: str, overlap: float) -> DataFrame:
     """Greedy union of intervals in order of start and end: an interval joins the growing one before it while their overlap is at least ``overlap`` of the shorter.
 
-    The order matters, so a group's distinct intervals are folded as one array; copies are removed before the
-    shuffle, which bounds a group by the pairs of positions, not by its rows.
+    The order matters, so a group's distinct intervals are folded in one pass of one task; copies are removed before
+    the shuffle, which bounds a group by the pairs of positions of its contig, not by its rows.
     """
     iv = df.select(*keys, F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e")).where("s is not null and e >= s").distinct()
-    kind = "array<struct<s:int,e:int>>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        ov = F.least(last["e"], x["e"]) - F.greatest(last["s"], x["s"]) + 1
-        short = F.least(last["e"] - last["s"], x["e"] - x["s"]) + 1
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.least(last["s"], x["s"]).alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        more = F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.greatest(ov, F.lit(0)) / short >= overlap), joined).otherwise(more).cast(kind)
-
-    g = iv.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
-    return g.select(*keys, F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("i")).select(*keys, "i.s", "i.e")
+    kinds = {f.name: f.dataType.simpleString() for f in iv.schema}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[int]] = []
+        for s, e in sorted(zip(pdf["s"].tolist(), pdf["e"].tolist())):
+            if out:
+                a, b = out[-1]
+                if max(0, min(b, e) - max(a, s) + 1) / (min(b - a, e - s) + 1) >= overlap:
+                    out[-1] = [min(a, s), max(b, e)]
+                    continue
+            out.append([s, e])
+        head = {k: [pdf[k].iloc[0]] * len(out) for k in keys}
+        return pd.DataFrame(head | {"s": [x[0] for x in out], "e": [x[1] for x in out]})
+
+    return iv.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", s int, e int")
 
 
 def wasserstein_nc(dist: DataFrame, other: str = "WT") -> DataFrame:

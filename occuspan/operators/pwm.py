@@ -125,7 +125,7 @@ def pwm_load(spark, d):
 def pwm_scan(spark, d):
     """Best placement of each matrix on every different call sequence of 8 to 60 bases."""
     seqs = V.cluster_rows(spark, d).where("ref_sequence is not null and length(ref_sequence) between 8 and 60").select("ref_sequence").distinct()
-    return scan(seqs, "ref_sequence", "ref_sequence", matrices(log_odds(demo_counts(spark)))).select("ref_sequence", "id", "strand", F.round("score", 6).alias("score"), F.round("score_norm", 6).alias("score_norm"))
+    return scan(seqs, "ref_sequence", "ref_sequence", matrices(log_odds(demo_counts(spark)))).select("ref_sequence", "id", "strand", (F.round("score", 6) + 0.0).alias("score"), (F.round("score_norm", 6) + 0.0).alias("score_norm"))
 
 
 def tf_candidates(spark, d):
@@ -166,6 +166,6 @@ w as (select s0, strand, id, len, o, substr(s, cast(o + 1 as bigint), cast(len a
 sc as (select w.s0, w.strand, w.id, w.o, sum(lod) as score from w join lod l on l.id = w.id and l.base = substr(win, cast(pos + 1 as bigint), 1) where regexp_full_match(win, '[ACGT]+') group by 1, 2, 3, 4),
 best as (select *, row_number() over (partition by s0, id order by round(score, 9) desc, strand, o) as k from sc),
 ex as (select id, sum(hi) as hi, sum(lo) as lo from (select id, pos, max(lod) as hi, min(lod) as lo from lod group by 1, 2) group by 1)
-select s0 as ref_sequence, id, strand, round(score, 6) as score, round((score - lo) / (hi - lo), 6) as score_norm from best join ex using (id) where k = 1""",
+select s0 as ref_sequence, id, strand, round(score, 6) + 0.0 as score, round((score - lo) / (hi - lo), 6) + 0.0 as score_norm from best join ex using (id) where k = 1""",
     ),
 }
