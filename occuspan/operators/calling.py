@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.session import spread, table
+from occuspan.session import shuffle_partitions, spread, table
 from occuspan.sources import views as V
 
 #: fixed values: alignment operations by their codes
@@ -129,7 +129,9 @@ def levenshtein_pairs(bcs: DataFrame, limit: int = 2) -> DataFrame:
     then computed; every pair within the limit shares one. Nulls are left out.
     """
     keys = deletions(F.col("barcode")) if limit == 1 else deletions2(F.col("barcode"))
-    k = spread(bcs.where("barcode is not null").select("barcode").distinct()).select("barcode", F.explode(keys).alias("key"))
+    # a number of partitions and not a size: each short string becomes very many keys
+    one = bcs.where("barcode is not null").select("barcode").distinct().repartition(shuffle_partitions(bcs.sparkSession))
+    k = one.select("barcode", F.explode(keys).alias("key"))
     p = k.select("key", F.col("barcode").alias("a")).join(k.select("key", F.col("barcode").alias("b")), "key").where("a < b").select("a", "b").distinct()
     return p.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= limit)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from occuspan.operators import motifs as M
-from occuspan.session import spread
+from occuspan.session import shuffle_partitions
 from occuspan.sources import views as V
 
 #: bound on the matrices of one scan, checked; public collections have a few thousand
@@ -106,7 +106,8 @@ def scan(seqs: DataFrame, key: str, seq: str, pwms: list, top: int | None = None
                 out += rows[:top]
             yield pd.DataFrame(out, columns=["key", "id", "tf", "strand", "offset", "score", "score_norm", "concordance"])
 
-    return spread(seqs.select(*cols)).mapInPandas(run, f"key {kind}, id string, tf string, strand string, offset int, score double, score_norm double, concordance double").withColumnRenamed("key", key)
+    # sequences are short beside the work on them, so they are dealt out by number
+    return seqs.select(*cols).repartition(shuffle_partitions(seqs.sparkSession)).mapInPandas(run, f"key {kind}, id string, tf string, strand string, offset int, score double, score_norm double, concordance double").withColumnRenamed("key", key)
 
 
 #: three small matrices of the queries: the consensus and the count of its base at each position, other bases 2

@@ -95,8 +95,15 @@ def written(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores, for steps whose cost is CPU and not bytes.
 
-    An input with enough partitions is left as it is, so large data isn't shuffled; a small file with one row group,
-    or a small shuffle that was coalesced, would else run in one task. The rows are the same either way.
+    An input with enough partitions is left as it is, so large data isn't shuffled; a small file with one row group would
+    else run in one task. A plan that shuffles already is left alone too: asking for its partitions would run it.
+    The rows are the same either way.
     """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
