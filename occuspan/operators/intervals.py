@@ -99,7 +99,7 @@ QUERIES = {"p2_found": p2_found}
 ORACLES = {
     "p2_found": r"""
 with rows_ as (
-  select sample_id, variant_id,
+  select distinct sample_id, variant_id,
     case lower(regexp_replace(bin_labels, '^\s+|\s+$', '', 'g'))
       when 'sub_tf' then 'sub_TF' when 'tf' then 'TF' when 'pic' then 'PIC' when 'nuc' then 'nuc' end as bin_labels,
     cast(abs_start as bigint) as s, cast(abs_end as bigint) as e
