@@ -123,12 +123,21 @@ def pwm_load(spark, d):
     return log_odds(demo_counts(spark)).select("id", "pos", "base", F.round("lod", 9).alias("lod"), F.round("ic", 9).alias("ic"))
 
 
-def pwm_scan(spark, d):
-    """Best placement of each matrix on every different call sequence of 8 to 60 bases."""
-    seqs = V.cluster_rows(spark, d).where("ref_sequence is not null and length(ref_sequence) between 8 and 60").select("ref_sequence").distinct()
+def _scan(spark, d, which: str) -> DataFrame:
+    seqs = V.cluster_rows(spark, d).where(which).select("ref_sequence").distinct()
     return scan(seqs, "ref_sequence", "ref_sequence", matrices(log_odds(demo_counts(spark)))).select("ref_sequence", "id", "strand", (F.round("score", 6) + 0.0).alias("score"), (F.round("score_norm", 6) + 0.0).alias("score_norm"))
 
 
+def pwm_scan(spark, d):
+    """Best placement of each matrix on every different call sequence of 8 to 60 bases, the part its SQL compares."""
+    return _scan(spark, d, "ref_sequence is not null and length(ref_sequence) between 8 and 60")
+
+
+def pwm_scan_all(spark, d):
+    """Best placement of each matrix on every different call sequence, of any length that the matrix fits."""
+    return _scan(spark, d, "ref_sequence is not null")
+
+
 def tf_candidates(spark, d):
     """The best two matrices of each motif, with their fit to the motif's base sensitivity."""
     c = M.annotated(spark, d)
@@ -148,7 +157,7 @@ def tf_candidates(spark, d):
     return out.select("motif", "id", "tf", "strand", "offset", F.round("score", 3).alias("score"), F.round("score_norm", 4).alias("score_norm"), F.round("concordance", 4).alias("concordance"))
 
 
-QUERIES = {"pwm_load": pwm_load, "pwm_scan": pwm_scan, "tf_candidates": tf_candidates}
+QUERIES = {"pwm_load": pwm_load, "pwm_scan": pwm_scan, "pwm_scan_all": pwm_scan_all, "tf_candidates": tf_candidates}
 
 _PW = "m(id, s, k) as (values " + ", ".join(f"('{i}', '{s}', {n})" for i, _, s, n in DEMO) + """),
 cnt as (select id, length(s) as len, p - 1 as pos, b as base, case when substr(s, p, 1) = b then k else 2 end as c, k + 6 as n
