@@ -90,7 +90,7 @@ def fuse(claims: DataFrame, keys: list[str], source: str, value: str, rounds: in
     of (1 - copy probability) over the sources that come before it by accuracy. A source's several claims
     on one key count once, by its most frequent and then smallest value. Only counts per source and pair of
     sources reach the driver; ``max_sources`` is checked, and more sources than that raise ValueError.
-    Null values claim nothing; a key without claims has no row; ties go to the smallest value.
+    Null values and null sources claim nothing (name unknown sources first); a key without claims has no row; ties go to the smallest value.
     """
     spark = claims.sparkSession
     c = claims.where(f"`{value}` is not null and `{source}` is not null").groupBy(*keys, F.col(source).alias("source"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,11 +165,17 @@ def fuse(claims: DataFrame, keys: list[str], source: str, value: str, rounds: in
     return out
 
 
+#: source of the records without a resolver; the others' names begin with =
+UNKNOWN = "?"
+
+
 def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion's consensus tag of each barcode, with the resolvers as sources; posterior rounded to six digits."""
+    """Fusion's consensus tag of each barcode, with the resolvers and one unknown resolver as sources; posterior rounded to six digits."""
     df = read_records(spark, sf_dir).where(usable_tag(F.col("consensus_variant_tag")))
     tag = F.regexp_replace("consensus_variant_tag", r"(?U)^\s+|\s+$", "")
     df = df.withColumn("tag", F.when(F.upper(tag) == "WT", F.lit("WT")).otherwise(tag)).dropDuplicates(["resolution_id"])
+    # records without a resolver are one more source, whose name no resolver can have
+    df = df.withColumn("resolver", F.when(F.col("resolver").isNull(), F.lit(UNKNOWN)).otherwise(F.concat(F.lit("="), "resolver")))
     f = fuse(df, ["library", "cluster_barcode"], "resolver", "tag")
     return f.select("library", "cluster_barcode", F.col("value").alias("tag"), F.round("posterior", 6).alias("posterior"), "n_sources")
 

@@ -88,6 +88,14 @@ def test_fusion_discounts_copies(spark):
     assert [(x.k, x.value) for x in one] == [(1, "v")]
 
 
+def test_fused_keeps_barcodes_without_resolver(spark, tmp_path):
+    kinds = "library string, cluster_barcode string, resolution_id long, consensus_variant_tag string, variant_support double, total_reads long, resolved_at timestamp, resolver string"
+    rows = [("L", "ACGTACGTACGTACG", 1, "WT", None), ("L", "CCGTACGTACGTACG", 2, '["1:A>C"]', "r1"), ("L", "CCGTACGTACGTACG", 3, '["1:A>C"]', None), ("L", "GCGTACGTACGTACG", 4, "NA", None)]
+    spark.createDataFrame([(a, b, i, v, 0.9, 5, None, s) for a, b, i, v, s in rows], kinds).write.parquet(str(tmp_path / "barcode_cluster_resolution.parquet"))
+    got = {r.cluster_barcode: (r.tag, r.n_sources) for r in survivors.p3_fused(spark, str(tmp_path)).collect()}
+    assert got == {"ACGTACGTACGTACG": ("WT", 1), "CCGTACGTACGTACG": ('["1:A>C"]', 2)}
+
+
 def test_quotas_keep_floors_caps_and_sum():
     import numpy as np
 
