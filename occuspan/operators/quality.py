@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occuspan.operators import kernels as K
+from occuspan.session import shuffle_partitions
 from occuspan.sources import views as V
 
 
@@ -19,10 +20,11 @@ def target_variant(mols: DataFrame, wanted: str | None = None) -> DataFrame:
     return n.agg(F.min_by(F.struct("variant_id", "n_reads"), F.struct(-F.col("n_reads"), "variant_id")).alias("t")).where("t is not null").select("t.*")
 
 
-def power(pack: DataFrame, variant: str, depths: list[int], resamples: int = 50, cfg: K.NullConfig = K.NullConfig(iterations=200)) -> DataFrame:
+def power(pack: DataFrame, variant: str, depths: list[int], resamples: int = 50, cfg: K.NullConfig = K.NullConfig(iterations=500)) -> DataFrame:
     """``depth, detected, mean_p`` : the share of resamples of a variant's reads, at each depth, with p below 0.05.
 
-    One task a depth; a depth above the variant's reads is drawn with replacement like the others.
+    Resamples are dealt to tasks and each is seeded by its depth and number; a depth above the variant's reads is drawn
+    with replacement like the others.
     """
     spark = pack.sparkSession
     wt = K.wild_type(pack, cfg)
@@ -30,21 +32,20 @@ def power(pack: DataFrame, variant: str, depths: list[int], resamples: int = 50,
     shipped = spark.sparkContext.broadcast((wt, one))
 
     def run(batches):
+        wild, var = shipped.value
         for pdf in batches:
             rows = []
-            wild, var = shipped.value
-            for depth in pdf["depth"]:
-                rng = np.random.default_rng(K.stable_seed(cfg.seed, f"power/{variant}/{depth}"))
-                ps = []
-                for k in range(resamples if len(var.nc) else 0):
-                    at = rng.integers(0, len(var.nc), depth)
-                    bits = np.unpackbits(var.bits[at], axis=1, count=var.bins * var.length)
-                    ps.append(K.test_variant(f"power/{variant}/{depth}/{k}", bits, var.nc[at], wild, cfg)["best_cluster_p"])
-                if ps:
-                    rows.append((int(depth), float(np.mean(np.array(ps) < 0.05)), float(np.mean(ps))))
-            yield pd.DataFrame(rows, columns=["depth", "detected", "mean_p"])
+            for depth, k in zip(pdf["depth"], pdf["k"]) if len(var.nc) else ():
+                name = f"power/{variant}/{depth}/{k}"
+                at = np.random.default_rng(K.stable_seed(cfg.seed, "reads/" + name)).integers(0, len(var.nc), depth)
+                bits = np.unpackbits(var.bits[at], axis=1, count=var.bins * var.length)
+                rows.append((int(depth), K.test_variant(name, bits, var.nc[at], wild, cfg)["best_cluster_p"]))
+            yield pd.DataFrame(rows, columns=["depth", "p"])
+
+    every = spark.createDataFrame([(x, k) for x in depths for k in range(resamples)], "depth int, k int")
+    p = every.repartition(shuffle_partitions(spark)).mapInPandas(run, "depth int, p double")
+    return p.groupBy("depth").agg(F.avg(F.when(F.col("p") < 0.05, 1.0).otherwise(0.0)).alias("detected"), F.avg("p").alias("mean_p"))
 
-    return spark.createDataFrame([(x,) for x in depths], "depth int").repartition(len(depths)).mapInPandas(run, "depth int, detected double, mean_p double")
 
 
 def target_variant_q(spark, d):
@@ -53,9 +54,9 @@ def target_variant_q(spark, d):
 
 def power_curve(spark, d):
     """Detection by depth of the variant with most reads."""
-    cfg = K.NullConfig(iterations=100)
+    cfg = K.NullConfig(iterations=500)
     row = target_variant(V.molecules(spark, d)).first()
-    return power(K.packed(V.read_nc(spark, d), V.segments(spark, d), cfg), row["variant_id"], [25, 50, 100, 200], 5, cfg)
+    return power(K.packed(V.read_nc(spark, d), V.segments(spark, d), cfg), row["variant_id"], [25, 50, 100, 200], 50, cfg)
 
 
 QUERIES = {"target_variant": target_variant_q, "power_curve": power_curve}
