@@ -148,8 +148,7 @@ def cluster_islands(spark, d):
 
 
 def interval_union_merge(spark, d):
-    c = V.cluster_rows(spark, d).where("width <= 400")
-    return fold_merge(c, ["library", "bin"], "abs_start", "abs_end", 0.5)
+    return fold_merge(V.cluster_rows(spark, d), ["library", "bin"], "abs_start", "abs_end", 0.5)
 
 
 def wasserstein(spark, d):

@@ -114,3 +114,11 @@ def test_overlap_join_and_nearest(spark):
 def test_fold_merge_grows(spark):
     df = spark.createDataFrame([("k", 0, 9), ("k", 5, 14), ("k", 20, 29), ("k", 0, 9), ("k", None, 3)], "k string, s int, e int")
     assert sorted((r.s, r.e) for r in fold_merge(df, ["k"], "s", "e", 0.5).collect()) == [(0, 14), (20, 29)]
+
+
+def test_union_takes_calls_of_any_width(spark, monkeypatch):
+    from occuspan.operators import ordered
+
+    rows = [("L", "nuc", 0, 499, 500), ("L", "nuc", 450, 520, None), ("L", "TF", 5, 30, 26)]
+    monkeypatch.setattr(ordered.V, "cluster_rows", lambda s, d: s.createDataFrame(rows, "library string, bin string, abs_start int, abs_end int, width int"))
+    assert {tuple(r) for r in ordered.interval_union_merge(spark, "").collect()} == {("L", "nuc", 0, 520), ("L", "TF", 5, 30)}
