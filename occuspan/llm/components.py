@@ -1,12 +1,14 @@
 """Problem 4: consolidating pairwise matches into groups (connected components).
 
-Minimum labels are propagated over the edges, the label table is shortened by pointer jumping, and
-the edges are contracted to the labels reached. Every round is written to the shared folder, and the
-rounds end when no edge joins two labels. Nothing that grows with the data reaches the driver.
+Minimum labels are propagated over the edges, every label is led to its root by pointer jumping, and the edges
+are contracted to the roots. Every round is written to the shared folder, and the rounds end when no edge joins
+two labels. Nothing that grows with the data reaches the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,48 +16,64 @@ from occuspan.llm.barcodes import READ_SQL, read_barcode
 from occuspan.session import Written, table
 
 
-def _jump(parents: DataFrame, times: int) -> DataFrame:
-    """Pointer jumping on ``v, p``: p becomes the parent of p, ``times`` times; a p without a row is a root."""
-    for _ in range(times):
-        up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        parents = parents.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-    return parents
+def _jump(parents: DataFrame) -> DataFrame:
+    """One pointer jump on ``v, p``: p becomes the parent of p; ``open`` tells whether p had one, so that it may have more."""
+    up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+    return parents.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("open"))
+
+
+def _roots(parents: DataFrame) -> tuple[Written, int]:
+    """(``v, p`` with every p a root, number of jumps): each jump doubles the way a pointer spans, so a path of n needs log2 n."""
+    m, jumps = Written(_jump(_jump(parents).drop("open"))), 2
+    while not m.df.where("open").isEmpty():
+        nxt = Written(_jump(_jump(m.df.drop("open")).drop("open")))
+        m.drop()
+        m, jumps = nxt, jumps + 2
+    return m, jumps
+
 
+def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+    """``v, root`` for each vertex of ``edges(a, b)`` that is linked to a smaller one.
 
-def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
-    """``v, root`` for each vertex of ``edges(a bigint, b bigint)`` that is linked to a smaller one.
+    The root is the smallest vertex linked directly or indirectly; vertices are of any one type that has an order.
+    Vertices that are their own root have no row. Loops, repeated edges and either direction are allowed; rows with a
+    null are left out; no edges give no rows. A vertex with a very large share of all edges is met by partial
+    aggregation before the shuffle and by AQE's splitting of skewed joins; contraction removes it after one round.
+    ``rounds`` receives the number of jumps of each round.
 
-    The root is the smallest vertex id linked directly or indirectly. Vertices that are their own root
-    have no row. Loops, repeated edges and either direction are allowed; rows with a null are left out;
-    no edges give no rows. A vertex with a very large share of all edges is met by partial aggregation
-    before the shuffle and by AQE's splitting of skewed joins; contraction removes it after one round.
+    At most 2 log2(n) rounds: a vertex that keeps its label in a round is smaller than all its neighbours. If one of
+    these hooks to another vertex, that one is smaller still and becomes a neighbour, so the vertex goes in the next
+    round; if none does, all of them join it. So each survivor of two rounds has taken in at least one other vertex.
     """
     spark = edges.sparkSession
     live = Written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    kind = live.df.schema["a"].dataType.simpleString()
     maps: list[Written] = []
     while not live.df.isEmpty():
         both = live.df
         # a > b, so only the larger end can take the smaller one as its parent: the minimum of its smaller neighbours
-        parents = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
-        m = Written(_jump(parents, jumps))
+        m, jumps = _roots(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")))
         maps.append(m)
-        up = m.df
-        ends = both.join(up.withColumnsRenamed({"v": "a", "p": "pa"}), "a", "left").join(up.withColumnsRenamed({"v": "b", "p": "pb"}), "b", "left")
-        ends = ends.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).where("a <> b")
+        if rounds is not None:
+            rounds.append(jumps)
+        up = m.df.select("v", "p")
+        # every a has a parent; a b has one only if it isn't the least of its neighbours
+        ends = both.join(up.withColumnsRenamed({"v": "a", "p": "pa"}), "a").join(up.withColumnsRenamed({"v": "b", "p": "pb"}), "b", "left")
+        ends = ends.select(F.col("pa").alias("a"), F.coalesce("pb", "b").alias("b")).where("a <> b")
         nxt = Written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         live.drop()
         live = nxt
     live.drop()
     if not maps:
-        return spark.createDataFrame([], "v bigint, root bigint")
-    # from the last round back to the first: the labels of a round end where the next rounds lead them
-    done = maps[-1].df.select("v", F.col("p").alias("root"))
+        return spark.createDataFrame([], f"v {kind}, root {kind}")
+    # from the last round back: a label of a round ends where the later rounds lead it. A vertex has a row in one round
+    # only, so each round adds its rows and rewrites none
+    done = [maps[-1].df.select("v", F.col("p").alias("root"))]
     for m in reversed(maps[:-1]):
-        later = done
-        here = m.df.join(later.withColumnsRenamed({"v": "p", "root": "up"}), "p", "left").select("v", F.coalesce("up", "p").alias("root"))
-        # a vertex that got a parent in this round isn't met again in later ones, unless as somebody's parent
-        done = Written(here.unionByName(later.join(m.df.select("v"), "v", "left_anti"))).df
-    return done
+        later = reduce(DataFrame.unionByName, done)
+        done.append(Written(m.df.join(later.withColumnsRenamed({"v": "p", "root": "up"}), "p", "left").select("v", F.coalesce("up", "p").alias("root"))).df)
+        m.drop()
+    return reduce(DataFrame.unionByName, done)
 
 
 def group_members(records: DataFrame, scope: str, members: str) -> DataFrame:
@@ -66,23 +84,17 @@ def group_members(records: DataFrame, scope: str, members: str) -> DataFrame:
     within the scope. Null members and null or empty arrays link nothing; a null scope is a scope of its
     own; a lone member is its own group; other columns are ignored.
     """
-    r = records.select(F.col(f"`{scope}`").alias("scope"), F.array_compact(F.array_distinct(F.col(f"`{members}`"))).alias("m")).where(F.size("m") > 0)
+    s, kind = F.col(f"`{scope}`"), records.schema[scope].dataType.simpleString()
+    r = records.select(s.alias("scope"), F.array_compact(F.array_distinct(F.col(f"`{members}`"))).alias("m")).where(F.size("m") > 0)
     # a star from each record's smallest member, so links grow with the members and not with their pairs
-    links = r.select("scope", F.array_min("m").alias("lo"), F.explode("m").alias("hi")).distinct()
-    links = Written(links)
-    nodes = links.df.select("scope", F.col("hi").alias("barcode")).distinct()
-    # ids follow the order of (scope, barcode): rows are sorted over all partitions, and the id grows with partition and row
-    ids = Written(nodes.orderBy("scope", "barcode").withColumn("id", F.monotonically_increasing_id()))
-    here = ids.df
-    lo = here.select(F.col("scope").alias("s1"), F.col("barcode").alias("lo"), F.col("id").alias("b"))
-    hi = here.select(F.col("scope").alias("s2"), F.col("barcode").alias("hi"), F.col("id").alias("a"))
-    pairs = links.df.where("lo <> hi")
-    pairs = pairs.join(hi, F.col("scope").eqNullSafe(F.col("s2")) & (pairs["hi"] == hi["hi"])).select("scope", "lo", "a")
-    pairs = pairs.join(lo, F.col("scope").eqNullSafe(F.col("s1")) & (pairs["lo"] == lo["lo"])).select("a", "b")
-    root = components(pairs)
-    names = here.select(F.col("id").alias("root"), F.col("barcode").alias("group_id"))
-    of = here.join(root.withColumnRenamed("v", "id"), "id", "left").select("scope", "barcode", F.coalesce("root", "id").alias("root"))
-    return of.join(names, "root").select(F.col("scope").alias(scope), "barcode", "group_id")
+    links = Written(r.select("scope", F.array_min("m").alias("b"), F.explode("m").alias("a")).distinct())
+    # a vertex is a member with its scope; the member decides the order, so the least vertex of a group has its least member
+    at = lambda c: F.struct(F.col(c).alias("m"), F.col("scope").alias("s"))
+    root = components(links.df.where("a <> b").select(at("a").alias("a"), at("b").alias("b")))
+    here = links.df.select(at("a").alias("v")).distinct()
+    out = Written(here.join(root, "v", "left").select(F.col("v.s").cast(kind).alias(scope), F.col("v.m").alias("barcode"), F.coalesce("root.m", "v.m").alias("group_id")))
+    links.drop()
+    return out.df
 
 
 def barcode_records(res: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -31,11 +32,11 @@ def groups(records):
     return {(s, x, best[find((s, x))]) for s, x in up}
 
 
-@pytest.mark.parametrize("seed", range(1))
+@pytest.mark.parametrize("seed", range(2))
 def test_groups_against_union_find(spark, seed):
     r = random.Random(seed)
     recs = [(r.choice(["L", "M", None]), [r.choice([None, f"b{r.randrange(160):03d}"]) for _ in range(r.randrange(0, 4))]) for _ in range(150)]
-    recs += [("chain", [f"c{i:03d}", f"c{i + 1:03d}"]) for i in range(30)] + [("hub", ["z", f"h{i:03d}"]) for i in range(200)] + [("L", None), ("L", ["lone"])]
+    recs += [("chain", [f"c{i:03d}", f"c{i + 1:03d}"]) for i in range(90)] + [("hub", ["z", f"h{i:03d}"]) for i in range(200)] + [("big", ["zz", f"k{i:03d}"]) for i in range(50)] + [("L", None), ("L", ["lone"])]
     df = spark.createDataFrame([(s, m, "x") for s, m in recs], "library string, barcodes array<string>, group_id string")
     got = {tuple(x) for x in components.group_members(df, "library", "barcodes").collect()}
     assert got == groups(recs)
@@ -47,12 +48,22 @@ def test_no_records_no_groups(spark):
     assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 
 
-def test_components_of_a_shuffled_path(spark):
-    r = random.Random(5)
-    ids = list(range(60))
-    r.shuffle(ids)
+@pytest.mark.parametrize("order", ["sorted", "shuffled", "zigzag"])
+def test_components_of_a_path(spark, order):
+    """Rounds grow with the logarithm of a path's length, however its ids lie along it."""
+    n = {"sorted": 5000, "shuffled": 300, "zigzag": 1000}[order]
+    ids = list(range(n))
+    if order == "shuffled":
+        random.Random(5).shuffle(ids)
+    if order == "zigzag":  # every other vertex is smaller than both neighbours
+        ids = [x for pair in zip(range(n // 2), range(n // 2, n)) for x in pair]
     df = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])], "a long, b long")
-    assert {x.v: x.root for x in components.components(df).collect()} == {i: 0 for i in range(1, 60)}
+    rounds = []
+    assert {x.v: x.root for x in components.components(df, rounds).collect()} == {i: 0 for i in range(1, n)}
+    most = 2 * math.log2(n)
+    assert len(rounds) <= most and max(rounds) <= most + 2, rounds
+    if order == "sorted":
+        assert len(rounds) == 1
 
 
 def test_how_barcodes_are_read(spark):
