@@ -76,37 +76,64 @@ def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def group_members(records: DataFrame, scope: str, members: str) -> DataFrame:
+def _hashed(stars: DataFrame, taken: list[DataFrame], mask: int) -> DataFrame:
+    """``scope, barcode, id, center`` of ``scope, barcode, hub``: numbers of the barcode and of its hub within the scope.
+
+    A number is a hash; one that two vertices share is in ``taken[0]``, and these vertices get another hash, and so on.
+    """
+    df = stars
+    for name, out in (("barcode", "id"), ("hub", "center")):
+        df = df.withColumn(out, F.xxhash64(name, "scope").bitwiseAND(mask))
+        for turn, ids in enumerate(taken, 1):
+            again = F.xxhash64(F.lit(turn), F.col(name), F.col("scope")).bitwiseAND(mask)
+            df = df.join(ids.select(F.col("id").alias("_t")), F.col(out) == F.col("_t"), "left").withColumn(out, F.when(F.col("_t").isNotNull(), again).otherwise(F.col(out))).drop("_t")
+    return df.select("scope", "barcode", "id", "center")
+
+
+def group_members(stars: DataFrame, scope: str, member: str, hub: str, mask: int = -1) -> DataFrame:
     """``scope, barcode, group_id``: one row for each distinct member of a scope.
 
-    ``records`` has a ``scope`` column and an array column ``members`` of strings. All members of one
-    record are linked; ``group_id`` is the smallest member (byte order) linked directly or indirectly
-    within the scope. Null members and null or empty arrays link nothing; a null scope is a scope of its
-    own; a lone member is its own group; other columns are ignored.
+    ``stars`` has a ``scope`` column and two string columns: each row links its ``member`` with its ``hub``, which is a
+    member of the same record and has a row of its own; links so grow with the members and not with their pairs.
+    ``group_id`` is the smallest member (byte order) linked directly or indirectly within the scope. Rows with a null
+    member or hub link nothing; a null scope is a scope of its own; a lone member is its own group; repeated rows change nothing;
+    other columns are ignored; an empty table gives no rows.
+
+    Vertices are numbered by hashes, so no join and no sort gives them out. Numbers that two vertices share are looked for and
+    hashed again until none is left, so the result is exact; ``mask`` narrows the hash for tests.
     """
-    s, kind = F.col(f"`{scope}`"), records.schema[scope].dataType.simpleString()
-    r = records.select(s.alias("scope"), F.array_compact(F.array_distinct(F.col(f"`{members}`"))).alias("m")).where(F.size("m") > 0)
-    # a star from each record's smallest member, so links grow with the members and not with their pairs
-    links = Written(r.select("scope", F.array_min("m").alias("b"), F.explode("m").alias("a")).distinct())
-    # a vertex is a member with its scope; the member decides the order, so the least vertex of a group has its least member
-    at = lambda c: F.struct(F.col(c).alias("m"), F.col("scope").alias("s"))
-    root = components(links.df.where("a <> b").select(at("a").alias("a"), at("b").alias("b")))
-    here = links.df.select(at("a").alias("v")).distinct()
-    out = Written(here.join(root, "v", "left").select(F.col("v.s").cast(kind).alias(scope), F.col("v.m").alias("barcode"), F.coalesce("root.m", "v.m").alias("group_id")))
+    s, kind = F.col(f"`{scope}`"), stars.schema[scope].dataType.simpleString()
+    r = stars.select(s.alias("scope"), F.col(f"`{member}`").alias("barcode"), F.col(f"`{hub}`").alias("hub")).where("barcode is not null and hub is not null")
+    taken: list[DataFrame] = []
+    while True:
+        links = Written(_hashed(r, taken, mask))
+        nodes = Written(links.df.select("id", "scope", "barcode").distinct())
+        shared = Written(nodes.df.groupBy("id").count().where("count > 1").select("id"))
+        if shared.df.isEmpty():
+            break
+        taken.append(shared.df)
+        links.drop()
+        nodes.drop()
+    root = components(links.df.select(F.col("id").alias("a"), F.col("center").alias("b")))
+    of = Written(nodes.df.join(root.withColumnRenamed("v", "id"), "id", "left").select("scope", "barcode", F.coalesce("root", "id").alias("root")))
     links.drop()
-    return out.df
+    nodes.drop()
+    least = of.df.groupBy("root").agg(F.min("barcode").alias("group_id"))
+    return of.df.join(least, "root").select(F.col("scope").cast(kind).alias(scope), "barcode", "group_id")
 
 
-def barcode_records(res: DataFrame) -> DataFrame:
-    """``library, barcodes`` of each record: its own barcode and its members', as read."""
+def barcode_stars(res: DataFrame) -> DataFrame:
+    """``library, barcode, hub``: each barcode of a record, as read, with the first that can be read."""
     own = F.array(F.col("cluster_barcode"))
     entries = F.concat(own, F.coalesce(F.col("member_barcodes"), F.array().cast("array<string>")))
-    return res.select("library", F.transform(entries, read_barcode).alias("barcodes"))
+    # the list is searched only where the record's own barcode can't be read
+    hub = F.coalesce(read_barcode(F.col("cluster_barcode")), F.get(F.filter(F.transform(entries, read_barcode), lambda x: x.isNotNull()), F.lit(0)))
+    return res.select("library", hub.alias("hub"), F.explode(entries).alias("e")).select("library", read_barcode(F.col("e")).alias("barcode"), "hub")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of each barcode of each library, over all records of ``barcode_cluster_resolution``."""
-    return group_members(barcode_records(table(spark, sf_dir, "barcode_cluster_resolution")), "library", "barcodes")
+    return group_members(barcode_stars(table(spark, sf_dir, "barcode_cluster_resolution")), "library", "barcode", "hub")
 
 
 def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,35 +27,69 @@ def exact(rows):
     return {k: np.sort(v) for k, v in by.items()}
 
 
-def test_percentiles_within_the_bound_and_counts_exact(spark):
+RANGE = {"x": (-1.0, 1.0)}
+
+
+def rank_error(v, e, q):
+    return max(0, np.searchsorted(v, e, "left") - q * len(v), q * len(v) - np.searchsorted(v, e, "right")) / len(v)
+
+
+@pytest.mark.parametrize("shipped", [1000, 0])
+def test_percentiles_within_the_bound_and_counts_exact(spark, monkeypatch, shipped):
+    """With estimates shipped, and joined where there are more groups than may be shipped."""
+    monkeypatch.setattr(D, "SHIPPED_GROUPS", shipped)
     df, rows = make(spark)
-    runs = D.sorted_runs(df, "id", ["k", "day"], {"x": (-1.0, 1.0)}).cache()
+    got_rows = D.measurements(df, "id", ["k", "day"], ["x"]).cache()
     want = exact(rows)
     keys = ["k", "metric"]
-    est = D.estimates(D.digests(runs, keys), keys)
-    got = D.certify(runs, est, keys).collect()
+    est = D.estimates(D.digests(got_rows, keys, RANGE), keys).cache()
+    got = D.certify(got_rows, est, keys, RANGE).collect()
     assert {r.k: r.n for r in got} == {k: len(v) for k, v in want.items()}
     for r in got:
-        v = want[r.k]
-        below, upto = np.searchsorted(v, r.estimate, "left"), np.searchsorted(v, r.estimate, "right")
-        err = max(0, below - r.q * len(v), r.q * len(v) - upto) / len(v)
+        err = rank_error(want[r.k], r.estimate, r.q)
         assert r.rank_error == pytest.approx(err, abs=1e-12) and err <= D.RANK_BOUND
-    days = D.digests(runs, [*keys, "day"])
-    span = D.estimates(D.merge_digests(days.where("day > 0"), keys), keys).collect()
+    if not shipped:
+        return
+    days = D.digests(got_rows, [*keys, "day"], RANGE).cache()
     part = exact([r for r in rows if r[2] > 0])
-    for r in span:
-        v = part[r.k]
-        assert r.n == len(v)
-        for q, e in zip(D.QUANTILES, r.est):
-            assert max(0, np.searchsorted(v, e, "left") - q * len(v), q * len(v) - np.searchsorted(v, e, "right")) / len(v) <= D.RANK_BOUND
+    for pieces in (0, 5000):  # merged by one task a group, and by parts first
+        for r in D.estimates(D.merge_digests(days.where("day > 0"), keys, pieces=pieces), keys).collect():
+            v = part[r.k]
+            assert r.n == len(v)
+            assert all(rank_error(v, e, q) <= D.RANK_BOUND for q, e in zip(D.QUANTILES, r.est))
+
+
+def test_estimates_beyond_the_bound_are_refined(spark):
+    df, rows = make(spark, 2000)
+    got_rows = D.measurements(df, "id", ["k", "day"], ["x"]).cache()
+    est = D.estimates(D.digests(got_rows, ["k", "metric"], RANGE, 8), ["k", "metric"], (0.5,)).withColumn("est", F.array(F.lit(0.9)))
+    got = D.certify(got_rows, est, ["k", "metric"], RANGE, (0.5,), bound=0.001).collect()
+    want = exact(rows)
+    assert {r.k for r in got} == set(want)
+    for r in got:
+        assert r.rank_error <= 0.001 and rank_error(want[r.k], r.estimate, 0.5) <= 0.001
+
+
+def test_steps_of_any_size_give_whole_counts(spark, monkeypatch):
+    df, rows = make(spark, 3000)
+    want = {k: len(v) for k, v in exact(rows).items()}
+
+    def small(batches):
+        D.STEP = 700
+        return batches
+
+    got_rows = D.measurements(df, "id", ["k", "day"], ["x"]).repartition(2).mapInArrow(small, "k string, day int, x float")
+    monkeypatch.setattr(D, "STEP", 700)
+    assert {r.k: r.n for r in D.digests(got_rows, ["k", "metric"], RANGE).collect()} == want
 
 
 def test_unlike_copies_count_once_and_empty_tables_give_nothing(spark):
-    df = spark.createDataFrame([(1, "a", 0, 0.5), (1, "b", 0, 0.6), (1, "a", 0, 0.5), (2, "a", 0, 0.1)], "id long, k string, day int, x float")
-    runs = D.sorted_runs(df, "id", ["k", "day"], {"x": (-1.0, 1.0)})
-    assert runs.agg(F.sum("n")).first()[0] == 2
-    none = D.sorted_runs(df.where("id > 9"), "id", ["k", "day"], {"x": (-1.0, 1.0)})
-    assert D.digests(none, ["k"]).count() == 0
+    df = spark.createDataFrame([(1, "a", 0, 0.5), (1, "b", 0, 0.6), (1, "a", 0, 0.5), (2, "a", 0, 0.1), (None, "a", 0, 0.1), (None, "a", 0, 0.1)], "id long, k string, day int, x float")
+    got = D.measurements(df, "id", ["k", "day"], ["x"])
+    assert sorted((r.k, round(r.x, 3)) for r in got.collect()) == [("a", 0.1), ("a", 0.1), ("a", 0.1), ("a", 0.5)]
+    none = D.measurements(df.where("id > 9"), "id", ["k", "day"], ["x"])
+    assert D.digests(none, ["k", "metric"], RANGE).count() == 0
+    assert D.certify(none, D.estimates(D.digests(none, ["k", "metric"], RANGE), ["k", "metric"]), ["k", "metric"], RANGE).count() == 0
 
 
 def test_merging_many_digests_of_a_skewed_column():

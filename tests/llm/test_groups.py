@@ -37,14 +37,16 @@ def test_groups_against_union_find(spark, seed):
     r = random.Random(seed)
     recs = [(r.choice(["L", "M", None]), [r.choice([None, f"b{r.randrange(160):03d}"]) for _ in range(r.randrange(0, 4))]) for _ in range(150)]
     recs += [("chain", [f"c{i:03d}", f"c{i + 1:03d}"]) for i in range(90)] + [("hub", ["z", f"h{i:03d}"]) for i in range(200)] + [("big", ["zz", f"k{i:03d}"]) for i in range(50)] + [("L", None), ("L", ["lone"])]
-    df = spark.createDataFrame([(s, m, "x") for s, m in recs], "library string, barcodes array<string>, group_id string")
-    got = {tuple(x) for x in components.group_members(df, "library", "barcodes").collect()}
-    assert got == groups(recs)
+    rows = [(s, b, next(x for x in m if x is not None), "x") for s, m in recs if m for b in m if any(x is not None for x in m)]
+    df = spark.createDataFrame([*rows, *rows[:9], ("L", None, None, "x")], "library string, barcode string, hub string, group_id string")
+    for mask in (-1, 0xFFFF) if seed else (-1,):  # with numbers of 16 bits some are shared
+        got = components.group_members(df, "library", "barcode", "hub", mask).collect()
+        assert {tuple(x) for x in got} == groups(recs) and len(got) == len(groups(recs))
 
 
 def test_no_records_no_groups(spark):
-    df = spark.createDataFrame([], "library string, barcodes array<string>")
-    assert components.group_members(df, "library", "barcodes").count() == 0
+    df = spark.createDataFrame([], "library string, barcode string, hub string")
+    assert components.group_members(df, "library", "barcode", "hub").count() == 0
     assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 
 
@@ -66,6 +68,12 @@ def test_components_of_a_path(spark, order):
         assert len(rounds) == 1
 
 
+def test_stars_of_records(spark):
+    rows = [("L", "ACGTACGTA", ["CCGTACGTA", "*", None]), ("L", "*", ["x", "ggGTACGTA..", "TTTTTTTTT"]), ("M", None, None), ("M", "AAAAAAAAC", [])]
+    got = components.barcode_stars(spark.createDataFrame(rows, "library string, cluster_barcode string, member_barcodes array<string>")).where("barcode is not null").collect()
+    assert sorted(tuple(x) for x in got) == [("L", "ACGTACGTA", "ACGTACGTA"), ("L", "CCGTACGTA", "ACGTACGTA"), ("L", "GGGTACGTA", "GGGTACGTA"), ("L", "TTTTTTTTT", "GGGTACGTA"), ("M", "AAAAAAAAC", "AAAAAAAAC")]
+
+
 def test_how_barcodes_are_read(spark):
     cases = {" acgtacgtn x": "ACGTACGTN", "ACGTACG": None, "ACGTACGT...+3more": "ACGTACGT", "*": None, "": None, None: None, "XACGTACGT": None, "\tACGTACGT\n": "ACGTACGT"}
     df = spark.createDataFrame([(k,) for k in cases], "e string").select("e", read_barcode(F.col("e")).alias("b"))
@@ -99,6 +107,69 @@ def test_fusion_discounts_copies(spark):
     assert [(x.k, x.value) for x in one] == [(1, "v")]
 
 
+def fused_by_hand(claims, n_false=10, prior=0.1):
+    """The same rule in plain loops over (key, source, value), one claim for each key and source."""
+    by = {}
+    for k, s, v in claims:
+        by.setdefault(k, []).append((s, v))
+    acc = {s: 0.8 for _, s, _ in claims}
+    lead, turn = {}, 0
+    while True:
+        turn += 1
+        n = {}
+        for k, said in by.items():
+            for s, v in said:
+                for t, u in said:
+                    if s < t:
+                        x = n.setdefault((s, t), [0, 0, 0])
+                        x[2 if v != u else 1 if v == lead.get(k) else 0] += 1
+        copy = {}
+        for (s, t), (f, h, u) in n.items():
+            e = 1 - (acc[s] + acc[t]) / 2
+            pf, pt = max(1e-6, e * e / n_false), max(1e-6, (1 - e) ** 2)
+            odds = math.log(prior / (1 - prior)) + u * math.log(0.2)
+            odds += f * math.log((0.8 * e + 0.2 * pf) / pf) + h * math.log((0.8 * (1 - e) + 0.2 * pt) / pt) if lead else (f + h) * math.log((0.8 + 0.2 * (pf + pt)) / (pf + pt))
+            copy[s, t] = 1 / (1 + math.exp(-max(-700, min(700, odds))))
+        out = {}
+        for k, said in by.items():
+            score = {}
+            said = sorted(said, key=lambda x: (-acc[x[0]], x[0]))
+            for i, (s, v) in enumerate(said):
+                free = math.prod(1 - copy.get((min(s, t), max(s, t)), 0) for t, u in said[:i] if u == v)
+                score[v] = score.get(v, 0) + math.log(n_false * acc[s] / (1 - acc[s])) * free
+            score = {v: round(x, 9) for v, x in score.items()}
+            top = max(score.values())
+            z = sum(math.exp(x - top) for x in score.values()) + max(n_false + 1 - len(score), 0) * math.exp(-top)
+            out[k] = (min(v for v, x in score.items() if x == top), 1 / z)
+        lead = {k: v for k, (v, _) in out.items()}
+        new = {}
+        for k, s, v in claims:
+            new.setdefault(s, []).append(out[k][1] if v == lead[k] else (1 - out[k][1]) / n_false)
+        new = {s: min(0.99, max(0.05, sum(x) / len(x))) for s, x in new.items()}
+        step = {s: (new[s] - acc[s]) * 0.5 ** max(0, turn - 3) for s in acc}
+        acc = {s: acc[s] + step[s] for s in acc}
+        if max(map(abs, step.values())) < 1e-3:
+            return out
+
+
+def test_fusion_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(survivors, "PAIR_BLOCK", 6)  # the ten links are taken in two blocks
+    r = random.Random(4)
+    claims = [(k, f"s{s}", r.choice("xyz") if s != 2 or r.random() < 0.3 else "x") for k in range(60) for s in range(5) if r.random() < 0.6]
+    want = fused_by_hand(claims)
+    df = spark.createDataFrame([(k or None, "L", s, v, "w") for k, s, v in claims], "k int, library string, s string, v string, value string")
+    got = survivors.fuse(df, ["k", "library"], "s", "v").collect()
+    assert {r.k or 0: r.value for r in got} == {k: v for k, (v, _) in want.items()}
+    assert all(abs(r.posterior - want[r.k or 0][1]) < 1e-6 for r in got)
+
+
+def test_fusion_ties_go_to_the_smallest(spark):
+    rows = [(1, "a", "y"), (1, "b", "x"), (2, "c", "q"), (2, "c", "p")]
+    got = {r.k: r.value for r in survivors.fuse(spark.createDataFrame(rows, "k int, s string, v string"), ["k"], "s", "v").collect()}
+    assert got == {1: "x", 2: "p"}
+    assert survivors.fuse(spark.createDataFrame([], "k int, s string, v string"), ["k"], "s", "v").count() == 0
+
+
 def test_fused_keeps_barcodes_without_resolver(spark, tmp_path):
     kinds = "library string, cluster_barcode string, resolution_id long, consensus_variant_tag string, variant_support double, total_reads long, resolved_at timestamp, resolver string"
     rows = [("L", "ACGTACGTACGTACG", 1, "WT", None), ("L", "CCGTACGTACGTACG", 2, '["1:A>C"]', "r1"), ("L", "CCGTACGTACGTACG", 3, '["1:A>C"]', None), ("L", "GCGTACGTACGTACG", 4, "NA", None)]
@@ -122,7 +193,9 @@ def test_quotas_keep_floors_caps_and_sum():
     assert quotas.largest_remainder(np.array([0.5, 0.3, 0.2]), np.zeros(3, int), np.array([99, 99, 99]), 11).tolist() == [6, 3, 2]
 
 
-def test_sample_holds_the_smallest_keys(spark):
+@pytest.mark.parametrize("range_rows", [500_000, 1])
+def test_sample_holds_the_smallest_keys(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(quotas, "RANGE_ROWS", range_rows)  # with 1 the range of the quota's end is cut again
     r = random.Random(3)
     rows = [("s", f"q{i}", 0 if i < 900 else r.choice([1, 2, None, -1])) for i in range(1300)] + [("t", "q", 5)]
     reads = spark.createDataFrame(rows, "sample_id string, query_name string, nc int")

@@ -1,4 +1,5 @@
 import base64
+import copy
 import random
 import unicodedata
 
@@ -25,12 +26,15 @@ def reference():
 
 def test_ids_equal_the_reference_and_come_back(t, reference):
     r = random.Random(0)
+    small = copy.copy(t)
+    small.piece = 6  # every longer pre-token goes over pieces
     texts = ODD + ["".join(r.choice("ab 1'\n.éß語") for _ in range(r.randrange(400))) for _ in range(200)]
     for x in texts:
         ids = t.encode(x)
         assert ids == reference.encode_ordinary(x)
         assert "".join(t.decode(ids)) == x
         assert list(t.encode_pieces(x[i : i + 7] for i in range(0, len(x), 7))) == ids
+        assert small.encode(x) == ids
     assert t.encode(None) == []
 
 
@@ -42,6 +46,21 @@ def test_long_pretokens_stream_in_bounded_memory(t, reference):
         assert list(t.stream(b[i : i + 5] for i in range(0, len(b), 5))) == reference.encode_ordinary(w)
 
 
+@pytest.mark.parametrize("unit", ["a", "thequickbrown", "\n", "=-"])
+def test_a_long_text_without_blanks_needs_flat_memory(t, unit):
+    """Peak memory of the encoder over a long pre-token doesn't depend on its length."""
+    import tracemalloc
+
+    peaks = []
+    for n in (80_000, 240_000):
+        tracemalloc.start()
+        count = sum(len(c) for c in t.chunks(unit * (4096 // len(unit)) for _ in range(n // 4096)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count > 0
+    assert peaks[1] < 1.3 * peaks[0] + 300_000, peaks
+
+
 def test_ids_of_a_table(spark):
     df = spark.createDataFrame([(1, "Hello world", "z"), (2, None, "z"), (3, "", "z"), (3, "", "z")], "doc_id long, text string, ids string")
     got = tokens.encode_column(df, "doc_id", "text", VOCAB).collect()
