@@ -8,6 +8,7 @@ the hash of a window's last block and confirms them word by word.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,6 +76,31 @@ class WuManber:
         return found
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of about ``BLOCK_BYTES``, one list at a time."""
+    rows, size = [], 0
+    for r in items.toLocalIterator():
+        rows.append((r["i"], r["t"]))
+        size += 4 * len(r["t"])
+        if size > BLOCK_BYTES:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
+#: the pattern table of the block that a worker process scans for; one is kept, so a worker's tasks build it once
+_TABLE: dict[str, WuManber] = {}
+
+
+def _patterns(name: str, shipped, words: Words, passage: int) -> WuManber:
+    if name not in _TABLE:
+        wm = WuManber([(i, words(t)) for i, t in shipped.value], passage)
+        _TABLE.clear()
+        _TABLE[name] = wm
+    return _TABLE[name]
+
+
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, passage: int = PASSAGE) -> DataFrame:
     """``doc_id, item_id``: documents that hold at least ``passage`` consecutive words of an item as consecutive words.
 
@@ -87,27 +113,22 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     spark = docs.sparkSession
     q = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
     d = spread(docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t")))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in q.toLocalIterator():
-        if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += 4 * len(r["t"])
     out = None
-    for rows in blocks:
-        shipped = spark.sparkContext.broadcast(rows)
+    for rows in _blocks(q):
+        # the driver keeps no block once it is shipped
+        shipped, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped):
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped, name=name):
             words = Words()
-            wm = WuManber([(i, words(t)) for i, t in shipped.value], passage)
+            wm = _patterns(name, shipped, words, passage)
             for pdf in batches:
                 hits = [(d, i) for d, t in zip(pdf["d"], pdf["t"]) for i in wm.scan(words(t))]
                 yield pd.DataFrame(hits, columns=["d", "i"], dtype="int64")
 
         part = d.mapInPandas(run, "d long, i long")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return d.sparkSession.createDataFrame([], f"`{doc_id}` bigint, `{item_id}` bigint")
     return out.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
 
 

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from occuspan.session import table
+from occuspan.session import table, written
 
-#: a range of the random key is its top eight bits; a category is cut at a range before any sort, so no task sorts a whole category
-RANGE_SHIFT = 56
+#: bits of the random key by which ranges are cut, and rows of the range in which a quota ends above which it is cut again
+RANGE_BITS, RANGE_ROWS = 8, 500_000
 
 
 def reads_of(tagged: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def eligible(reads: DataFrame) -> DataFrame:
 
 
 def largest_remainder(share: np.ndarray, floor: np.ndarray, have: np.ndarray, total: int) -> np.ndarray:
-    """Integer quotas: at most ``have``, at least ``min(floor, have)``, in sum ``min(total, sum of have)`` unless the floors exceed it.
+    """Integer quotas: at most ``have``, at least ``min(floor, have)``, in sum ``total`` unless the floors exceed it or too little is there.
 
+    Categories without a share get their floor and no more, also where those with a share are exhausted.
     Shares are scaled over the categories that are still free; a category pushed to its floor or cap leaves
     the split and the rest is split again. Remainders go to the largest fraction, then to the first category.
     """
@@ -80,13 +81,15 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str,
     report has ``unit, category, have, needed, quota`` of each target row; needed is the greater of floor and
     share * size, nulls ignored. Units and categories without targets give no sample rows. ``key`` is a
     deterministic random long; equal keys are broken by the row's other columns, so the sample is repeatable.
-    A category's rows are spread over ranges of the key: ranges below the quota are kept whole, and only the
-    range in which the quota ends is ranked. Empty tables give empty results.
+    A category's rows are spread over ranges of the key: ranges below the quota are kept whole, and the range in
+    which the quota ends is cut into finer ones until it has at most ``RANGE_ROWS`` rows; only that one is ranked, so
+    no task sorts a whole category however large it is. Empty tables give empty results.
     """
     u, c = F.col(f"`{unit}`"), F.col(f"`{category}`")
-    rng = F.shiftright(key, RANGE_SHIFT).cast("int")
-    keyed = rows.where(u.isNotNull() & c.isNotNull()).withColumns({"_u": u, "_c": c, "_k": key, "_r": rng})
-    per_range = keyed.groupBy("_u", "_c", "_r").agg(F.count(F.lit(1)).alias("n"))
+    # a range of keys is a run of leading bits, in the order of signed numbers
+    at = lambda bits: F.shiftright("_k", 64 - bits)
+    keyed = rows.where(u.isNotNull() & c.isNotNull()).withColumns({"_u": u, "_c": c, "_k": key})
+    per_range = keyed.groupBy("_u", "_c", at(RANGE_BITS).alias("_r")).agg(F.count(F.lit(1)).alias("n"))
     have = per_range.groupBy("_u", "_c").agg(F.sum("n").alias("have"))
     t = targets.select(
         u.alias("unit"), c.alias("category"), F.col(share).cast("double").alias("share"), F.col(floor).cast("long").alias("floor"), F.col(total).cast("long").alias("total")
@@ -97,15 +100,26 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str,
     kind = {f.name: f.dataType.simpleString() for f in targets.schema}
     # one group holds a unit's categories (counts, not rows)
     report = t.groupBy("unit").applyInPandas(_allocate, f"unit {kind[unit]}, category {kind[category]}, have long, needed double, quota long")
-    before = F.sum("n").over(Window.partitionBy("_u", "_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = per_range.withColumn("before", F.coalesce(before, F.lit(0)))
-    cuts = cuts.join(report.select(F.col("unit").alias("_u"), F.col("category").alias("_c"), "quota"), ["_u", "_c"]).where("before < quota")
-    cuts = cuts.select("_u", "_c", "_r", (F.col("quota") - F.col("before")).alias("_room"), "n")
-    near = keyed.join(cuts, ["_u", "_c", "_r"])
-    whole = near.where("n <= _room")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_u", "_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = report.select(F.col("unit").alias("_u"), F.col("category").alias("_c"), F.col("quota").alias("_room"))
+    bits, sample = RANGE_BITS, None
+    while True:
+        cuts = per_range.withColumn("_before", before).join(room, ["_u", "_c"]).where("_before < _room")
+        cuts = written(cuts.select("_u", "_c", "_r", (F.col("_room") - F.col("_before")).alias("_room"), "n"))
+        near = keyed.withColumn("_r", at(bits)).join(cuts, ["_u", "_c", "_r"])
+        whole = near.where("n <= _room").select(*rows.columns)
+        sample = whole if sample is None else sample.unionByName(whole)
+        cut = cuts.where("n > _room")
+        if bits >= 64 or cut.where(F.col("n") > RANGE_ROWS).isEmpty():
+            break
+        # one range of a category is cut again; its rows are all that the next turn reads
+        keyed = near.where("n > _room").select(*rows.columns, "_u", "_c", "_k")
+        room = cut.select("_u", "_c", "_room")
+        bits += RANGE_BITS
+        per_range = keyed.groupBy("_u", "_c", at(bits).alias("_r")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("_u", "_c", "_r").orderBy("_k", *[F.col(f"`{x}`") for x in rows.columns]))
-    cut = near.where("n > _room").withColumn("_rank", rank).where("_rank <= _room")
-    sample = whole.select(*rows.columns).unionByName(cut.select(*rows.columns))
+    ranked = near.where("n > _room").withColumn("_rank", rank).where("_rank <= _room")
+    sample = sample.unionByName(ranked.select(*rows.columns))
     return sample, report.select(F.col("unit").alias(unit), F.col("category").alias(category), "have", "needed", "quota")
 
 

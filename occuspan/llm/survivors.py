@@ -9,12 +9,15 @@ uses ``survivors``; ``p3_fused`` holds the fusion's answer beside it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occuspan.llm.barcodes import READ_SQL, read_barcode
+from occuspan.llm.digests import as_array
 from occuspan.session import Written, table
 
 
@@ -64,105 +67,183 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _accuracy(rows: list) -> dict[str, float]:
-    """Accuracy of each source, kept off 0 and 1."""
-    return {r["source"]: min(0.99, max(0.05, r["acc"])) for r in rows}
+#: links between sources that one pass ships to the executors (about 40 bytes each); more are taken in blocks of this many
+PAIR_BLOCK = 2_000_000
 
+#: share of items that a copier copies
+COPIED = 0.8
 
-def _pair_counts(batches):
-    """Per unordered pair of sources: items on which both say the same minority value, the same leading value, and unlike values."""
-    tally: dict[tuple[int, int], list[float]] = {}
-    for pdf in batches:
-        for srcs, vals, lead in zip(pdf["srcs"], pdf["vals"], pdf["lead"]):
-            for i in range(len(srcs)):
-                for j in range(i):
-                    k = (min(srcs[i], srcs[j]), max(srcs[i], srcs[j]))
-                    t = tally.setdefault(k, [0.0, 0.0, 0.0])
-                    t[2 if vals[i] != vals[j] else (1 if vals[i] == lead else 0)] += 1
-    yield pd.DataFrame([(a, b, *t) for (a, b), t in tally.items()], columns=["a", "b", "false_", "true_", "unlike"])
 
+def _lags(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, earlier rows of the same group) for each distance within groups; ``group`` is sorted."""
+    k = 1
+    while True:
+        at = np.flatnonzero(group[k:] == group[:-k]) + k if k < len(group) else group[:0]
+        if not len(at):
+            return
+        yield at, at - k
+        k += 1
 
-def fuse(claims: DataFrame, keys: list[str], source: str, value: str, rounds: int = 3, n_false: int = 10, copy_prior: float = 0.1, max_sources: int = 64) -> DataFrame:
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Key's row, order, source and value of each claim of a table of claim lists."""
+    c = as_array(t.column("claims"))
+    row = np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy()))
+    f = c.flatten()
+    return row, *(f.field(n) for n in ("o", "source", "value"))
+
+
+def _coded(x: pa.Array) -> tuple[np.ndarray, list]:
+    d = x.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of sources of each batch: the items on which both say the same minority value, the same leading value, and unlike values."""
+    for b in batches:
+        row, _, source, value = _flat(pa.Table.from_batches([b]))
+        s, names = _coded(source)
+        rank = np.argsort(np.argsort(np.array(names, dtype=object))) if names else np.empty(0, int)
+        v, said = _coded(value)
+        num = {x: i for i, x in enumerate(said)}
+        lead = np.array([num.get(x, -1) for x in b.column(b.schema.get_field_index("lead")).to_pylist()], dtype=np.int64)[row]
+        found, kinds = [], []
+        for i, j in _lags(row):
+            lo, hi = np.where(rank[s[i]] < rank[s[j]], s[i], s[j]), np.where(rank[s[i]] < rank[s[j]], s[j], s[i])
+            found.append(lo.astype(np.int64) * len(names) + hi)
+            kinds.append(np.where(v[i] != v[j], 2, np.where(v[i] == lead[i], 1, 0)))
+        code, at = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_inverse=True)
+        n = np.bincount(at * 3 + np.concatenate([np.empty(0, np.int64), *kinds]), minlength=3 * len(code)).reshape(-1, 3)
+        side = lambda c: pa.array([names[x] for x in c], pa.string())
+        yield pa.RecordBatch.from_arrays([side(code // max(1, len(names))), side(code % max(1, len(names))), *(pa.array(n[:, k]) for k in range(3))], names=["a", "b", "same_minor", "same_lead", "unlike"])
+
+
+def fuse(claims: DataFrame, keys: list[str], source: str, value: str, n_false: int = 10, copy_prior: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
     """Maximum-posterior value of each key: ``keys, value, posterior, n_sources``.
 
     Sources are scored by how often they agree with the current posteriors; two sources that share many
     minority values are taken to depend on each other, and a source's vote is discounted by the product
-    of (1 - copy probability) over the sources that come before it by accuracy. A source's several claims
-    on one key count once, by its most frequent and then smallest value. Only counts per source and pair of
-    sources reach the driver; ``max_sources`` is checked, and more sources than that raise ValueError.
-    Null values and null sources claim nothing (name unknown sources first); a key without claims has no row; ties go to the smallest value.
+    of (1 - copy probability) over the sources of the same value that come before it by accuracy. A source's several
+    claims on one key count once, by its most frequent and then smallest value. Rounds end when no accuracy moves by
+    ``tolerance`` or more. Ranks and leading values are no continuous functions of the accuracies, so these can swing;
+    from the fourth round on a round moves them half as far as the one before would, which ends any swing.
+
+    Null values and null sources claim nothing (name unknown sources first); a key without claims has no row; repeated
+    rows change nothing but a source's most frequent value; among values of equal posterior the smallest wins.
+
+    A key is reduced to one claim for each source before it is gathered, and no pairs are emitted: pairs of
+    sources are counted inside each task. Sources and their links are tables, without a bound on their number;
+    links are shipped in blocks of at most ``PAIR_BLOCK`` and the votes of the blocks are multiplied.
     """
     spark = claims.sparkSession
-    c = claims.where(f"`{value}` is not null and `{source}` is not null").groupBy(*keys, F.col(source).alias("source"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    c = c.groupBy(*keys, "source").agg(F.max_by("value", F.struct("n", F.hash("value"))).alias("value"))
+    c = claims.where(f"`{value}` is not null and `{source}` is not null").groupBy(*keys, F.col(source).cast("string").alias("source"), F.col(value).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # the most frequent and then smallest value of a source
+    c = c.groupBy(*keys, "source").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m")).select(*keys, "source", F.col("m.value").alias("value"))
     w = Written(c)
     c = w.df
-    sources = sorted(r["source"] for r in c.select("source").distinct().limit(max_sources + 1).collect())
-    if len(sources) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    acc = {s: 0.8 for s in sources}
-    num = {s: i for i, s in enumerate(sources)}
-    code = F.create_map(*[x for s, i in num.items() for x in (F.lit(s), F.lit(i))]) if sources else None
-
-    def copies(judged: DataFrame, known: bool) -> dict[tuple[str, str], float]:
-        """Probability that two sources depend on each other; before values are judged, from their agreement alone."""
-        rows = judged.groupBy(*keys).agg(F.collect_list(F.struct(code[F.col("source")].alias("s"), "value")).alias("sv"), F.first("lead").alias("lead")).where(F.size("sv") > 1)
-        got = (
-            rows.select(F.col("sv.s").alias("srcs"), F.col("sv.value").alias("vals"), "lead")
-            .mapInPandas(lambda it: _pair_counts(it), "a int, b int, false_ double, true_ double, unlike double")
-            .groupBy("a", "b")
-            .agg(F.sum("false_").alias("f"), F.sum("true_").alias("t"), F.sum("unlike").alias("u"))
-            .collect()
-        )
-        out = {}
-        for r in got:
-            x, y = sources[r["a"]], sources[r["b"]]
-            e = 1 - (acc[x] + acc[y]) / 2
-            pf, pt = max(1e-6, e * e / n_false), max(1e-6, (1 - e) ** 2)
-            k = 0.8  # share of items copied by a copier
-            llr = r["u"] * math.log(1 - k)
-            if known:
-                llr += r["f"] * math.log((k * e + (1 - k) * pf) / pf) + r["t"] * math.log((k * (1 - e) + (1 - k) * pt) / pt)
-            else:
-                llr += (r["f"] + r["t"]) * math.log((k + (1 - k) * (pf + pt)) / (pf + pt))
-            odds = math.log(copy_prior / (1 - copy_prior)) + llr
-            out[(x, y)] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    key_kinds = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    acc = Written(c.select("source").distinct().withColumn("acc", F.lit(0.8)))
+
+    def with_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Inner join on the keys, of which a null is a value."""
+        right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+        return left.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+    def gathered(extra: DataFrame | None = None) -> DataFrame:
+        """``keys, claims``: each key's claims, the most accurate source first; with the leading value where it is known."""
+        said = c.join(acc.df.select("source", "acc"), "source").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("acc")).alias("o"), "source", "value"))).alias("claims"))
+        return with_keys(said, extra) if extra is not None else said.withColumn("lead", F.lit(None).cast("string"))
+
+    def copies(rows: DataFrame, known: bool) -> Written:
+        """``a, b, p``: the probability that two sources depend on each other; before values are judged, from their agreement alone."""
+        k = rows.where(F.size("claims") > 1).select("claims", "lead").mapInArrow(_pair_counts, "a string, b string, same_minor long, same_lead long, unlike long")
+        k = k.groupBy("a", "b").agg(F.sum("same_minor").alias("f"), F.sum("same_lead").alias("t"), F.sum("unlike").alias("u"))
+        for side in "ab":
+            k = k.join(acc.df.select(F.col("source").alias(side), F.col("acc").alias(f"acc_{side}")), side)
+        e = 1 - (F.col("acc_a") + F.col("acc_b")) / 2
+        pf, pt = F.greatest(F.lit(1e-6), e * e / n_false), F.greatest(F.lit(1e-6), (1 - e) * (1 - e))
+        llr = F.col("u") * math.log(1 - COPIED)
+        if known:
+            llr = llr + F.col("f") * F.log((COPIED * e + (1 - COPIED) * pf) / pf) + F.col("t") * F.log((COPIED * (1 - e) + (1 - COPIED) * pt) / pt)
+        else:
+            llr = llr + (F.col("f") + F.col("t")) * F.log((COPIED + (1 - COPIED) * (pf + pt)) / (pf + pt))
+        odds = F.lit(math.log(copy_prior / (1 - copy_prior))) + llr
+        return Written(k.select("a", "b", (1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-700.0)), F.lit(700.0))))).alias("p")))
+
+    def independent(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """``keys, source, value, vote, free``: each claim's vote and the probability that it isn't copied from a source before it."""
+        n = links.count()
+        out = None
+        blocks = max(1, -(-n // PAIR_BLOCK))
+        for i in range(blocks):
+            part = links.where(F.pmod(F.hash("a", "b"), F.lit(blocks)) == i).toArrow() if blocks > 1 else links.toArrow()
+            shipped = spark.sparkContext.broadcast((part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("p").to_numpy()))
+
+            def run(batches, shipped=shipped):
+                a, b, p = shipped.value
+                voc = np.unique(np.array([*a, *b], dtype=object)) if a else np.empty(0, object)
+                code = np.searchsorted(voc, a) * len(voc) + np.searchsorted(voc, b) if a else np.empty(0, np.int64)
+                o = np.argsort(code)
+                code, p = code[o], p[o]
+                num = {x: i for i, x in enumerate(voc)}
+                for batch in batches:
+                    t = pa.Table.from_batches([batch])
+                    row, order, src, val = _flat(t)
+                    s, names = _coded(src)
+                    s = np.array([num.get(x, -1) for x in names], dtype=np.int64)[s] if names else np.empty(0, np.int64)
+                    v, _ = _coded(val)
+                    # claims of one value together, in their order
+                    by = np.lexsort((np.arange(len(row)), v, row))
+                    g = np.unique(row[by] * np.int64(len(v) + 1) + v[by], return_inverse=True)[1] if len(row) else row
+                    free = np.ones(len(row))
+                    for x, y in _lags(g):
+                        lo, hi = np.minimum(s[by[x]], s[by[y]]), np.maximum(s[by[x]], s[by[y]])
+                        want = lo * len(voc) + hi
+                        at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
+                        hit = (lo >= 0) & (code[at] == want) if len(code) else np.zeros(len(want), bool)
+                        free[by[x[hit]]] *= 1 - p[at[hit]]
+                    acc_ = -order.to_numpy(zero_copy_only=False)
+                    head = t.select(keys).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*(as_array(head.column(k)) for k in keys), src, val, pa.array(np.log(n_false * acc_ / (1 - acc_))), pa.array(free)], names=[*keys, "source", "value", "vote", "free"])
+
+            part_ = rows.select(*keys, "claims").mapInArrow(run, f"{key_kinds}, source string, value string, vote double, free double")
+            out = part_ if out is None else out.unionByName(part_)
+        if blocks > 1:
+            out = out.groupBy(*keys, "source", "value").agg(F.max("vote").alias("vote"), F.product("free").alias("free"))
         return out
 
-    copy = copies(c.withColumn("lead", F.lit(None).cast("string")), False) if sources else {}
-    out = None
-    for turn in range(rounds):
-        order = sorted(sources, key=lambda s: (-acc[s], s))
-        # vote of a source: log odds of its accuracy; the discount applies where an earlier source claims the same value
-        vote = {s: math.log(n_false * acc[s] / (1 - acc[s])) for s in sources}
-        table_ = spark.createDataFrame([(s, vote[s], order.index(s)) for s in sources] or [("", 0.0, 0)], "source string, vote double, pos int")
-        said = c.join(F.broadcast(table_), "source").groupBy(*keys, "value").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "vote"))).alias("by"))
-        pc = F.create_map(*[x for (a, b), p in copy.items() for x in (F.lit(f"{a}\x00{b}"), F.lit(p))]) if copy else None
-
-        def weight(x, by):
-            if pc is None:
-                return x["vote"]
-            keep = F.aggregate(
-                F.filter(by, lambda y: y["pos"] < x["pos"]),
-                F.lit(1.0),
-                lambda m, y: m * (1 - F.coalesce(pc[F.concat(F.least(x["source"], y["source"]), F.lit("\x00"), F.greatest(x["source"], y["source"]))], F.lit(0.0))),
-            )
-            return x["vote"] * keep
-
-        scored = said.select(*keys, "value", F.size("by").alias("n_src"), F.aggregate(F.transform("by", lambda x: weight(x, F.col("by"))), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    def judge(rows: DataFrame, links: DataFrame) -> DataFrame:
+        scored = independent(rows, links).groupBy(*keys, "value").agg(F.sum(F.col("vote") * F.col("free")).alias("score"), F.count(F.lit(1)).alias("n_src"))
+        # equal votes may differ in their last digits, by the order in which they were added
+        scored = scored.withColumn("score", F.round("score", 9))
         # shifted by the largest score before exp, with n_false + 1 values in all, those nobody claims scoring 0
-        per = scored.groupBy(*keys).agg(
-            F.max(F.struct("score", F.struct(F.col("value").alias("value"))["value"].alias("v"))).alias("top"), F.collect_list("score").alias("all"), F.sum("n_src").alias("n_sources")
-        )
-        top = F.col("top.score")
+        per = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("score"), "value")).alias("top"), F.collect_list("score").alias("all"), F.sum("n_src").alias("n_sources"))
+        top = -F.col("top.score")
         z = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - top)) + F.greatest(F.lit(n_false + 1) - F.size("all"), F.lit(0)) * F.exp(-top)
-        out = per.select(*keys, F.col("top.v").alias("value"), (1 / z).alias("posterior"), "n_sources")
-        if turn + 1 < rounds:
-            best = out.select(*keys, F.col("value").alias("lead"), "posterior")
-            judged = c.join(best, keys)
-            acc = _accuracy(judged.groupBy("source").agg(F.avg(F.when(F.col("value") == F.col("lead"), F.col("posterior")).otherwise((1 - F.col("posterior")) / n_false)).alias("acc")).collect())
-            copy = copies(judged, True)
-    return out
+        return per.select(*keys, F.col("top.value").alias("value"), (1 / z).alias("posterior"), "n_sources")
+
+    rows = Written(gathered())
+    links = copies(rows.df, False)
+    turn = 0
+    while True:
+        turn += 1
+        out = Written(judge(rows.df, links.df))
+        rows.drop()
+        links.drop()
+        best = out.df.withColumnRenamed("value", "lead")
+        agrees = F.when(F.col("value") == F.col("lead"), F.col("posterior")).otherwise((1 - F.col("posterior")) / n_false)
+        new = with_keys(c, best.select(*keys, "lead", "posterior")).groupBy("source").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg(agrees))).alias("new"))
+        step = (F.col("new") - F.col("acc")) * 0.5 ** max(0, turn - 3)
+        nxt = Written(acc.df.select("source", "acc").join(new, "source").select("source", (F.col("acc") + step).alias("acc"), F.abs(step).alias("moved")))
+        acc.drop()
+        acc = nxt
+        if acc.df.where(F.col("moved") >= tolerance).isEmpty():
+            acc.drop()
+            return out.df
+        rows = Written(gathered(best.select(*keys, "lead")))
+        links = copies(rows.df, True)
+        out.drop()
 
 
 #: source of the records without a resolver; the others' names begin with =

@@ -1,9 +1,16 @@
 """Problem 6: encoding a corpus with a public byte-level BPE vocabulary.
 
-The encoder is a streaming transducer. Text arrives in pieces; a pre-token is emitted once the text behind
-it is long enough that it can't change. Inside a long pre-token the encoder keeps, for each byte of a short
-tail, the last token of the unique encoding up to that byte, and emits the tokens that all continuations
-share. The lookahead is the longest token of the vocabulary, so memory doesn't depend on the text's length.
+The encoder is a streaming transducer. Text arrives in pieces and is cut into pre-tokens; each pre-token's bytes
+are fed to a machine that keeps, for each byte of a short tail, the last token of the unique encoding up to that
+byte. Tokens are emitted once no continuation can change them, so memory doesn't depend on the length of the text
+or of a pre-token.
+
+Why a bounded lookahead suffices. A sequence of tokens is the encoding of its bytes exactly if every two neighbours
+are the encoding of theirs. So the encoding of a text, cut at one of its token ends, is the encoding of the part
+before, and ``last`` holds all of them. Whatever follows n bytes, one token of the final encoding covers byte n; it
+begins at a place j from which the bytes up to n begin a token of the vocabulary (or j = n). The merge list gives
+all such beginnings and their longest continuation, the lookahead: no place further back than that is alive. The
+tokens shared by the encodings up to all living places are therefore in every continuation.
 """
 
 from __future__ import annotations
@@ -13,6 +20,7 @@ import codecs
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,33 +31,61 @@ from occuspan.session import spread, table
 #: folder of the vocabulary files; a parameter of every function that reads one
 VOCAB_DIR = os.environ.get("OCCUSPAN_TOKENIZERS", "/opt/tokenizers")
 
-#: fixed value: the published split pattern of this vocabulary
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: fixed values: the published split pattern of this vocabulary, its contractions apart
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+SPLIT = "|".join(CONTRACTIONS) + r"""| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: characters of text that must follow a pre-token before it is final (the longest contraction, or white space and the character behind it)
-MARGIN = 4
+#: characters that must follow a pre-token before it is final: an apostrophe may begin the longest contraction
+MARGIN = max(map(len, CONTRACTIONS))
 
-#: characters up to which a text's pre-tokens are listed at once, and bytes above which a pre-token is encoded as a stream
-PIECE, LONG = 1 << 16, 512
+#: characters of a piece in which texts are read
+PIECE = 1 << 16
+
+
+class _Feed:
+    """Text to come: what is held, and the pieces after it."""
+
+    def __init__(self, pieces: Iterable[str]):
+        self.it = iter(pieces)
+        self.hold, self.next = "", next(self.it, None)
+
+    def more(self, keep: str) -> bool:
+        """Holds what is kept and the next piece; False at the end."""
+        if self.next is None:
+            self.hold = keep
+            return False
+        self.hold, self.next = keep + self.next, next(self.it, None)
+        return True
 
 
 class Transducer:
     """Encoder and decoder for one ranks file (base64 token and id on each line)."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000, piece: int = PIECE):
         import regex
 
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.bytes = {i: b for b, i in self.rank.items()}
-        self.lookahead = max(map(len, self.rank))
+        #: every beginning of a token with the bytes that its longest continuation adds, and every ending with its id or -1
+        self.more: dict[bytes, int] = {}
+        self.ending: dict[bytes, int] = {}
+        for b in self.rank:
+            for i in range(1, len(b)):
+                self.more[b[:i]] = max(self.more.get(b[:i], 0), len(b) - i)
+                self.ending.setdefault(b[i:], -1)
+        self.ending.update(self.rank)
+        #: bytes behind a place after which it can't be alive
+        self.lookahead = 1 + max(self.more.values(), default=0)
         self.split = regex.compile(SPLIT)
+        self.kinds = [regex.compile(x) for x in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
+        self.piece = piece
         self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_size = cache
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: the adjacent pair of lowest rank is merged, the first of equals, until none is left."""
+        """The definition: the adjacent pair of lowest rank is merged, the first of equals, until none is left. It judges pairs of tokens."""
         rank = self.rank
         if (whole := rank.get(word)) is not None:
             return [whole]
@@ -65,95 +101,133 @@ class Transducer:
                 ranks[i] = rank.get(parts[i] + parts[i + 1], 1 << 60)
         return [rank[p] for p in parts]
 
-    def _adjoin(self, a: int, b: int) -> bool:
-        """True where ids a, b may stand side by side in an encoding."""
-        k = (a, b)
-        if (ok := self.fits.get(k)) is None:
-            if len(self.fits) > self.cache_size:
-                self.fits.clear()
-            ok = self.fits[k] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+    def _adjoin(self, key: int) -> bool:
+        """True where two ids may stand side by side in an encoding."""
+        if len(self.fits) > 2 * self.cache_size:
+            self.fits.clear()
+        a, b = key >> 32, key & 0xFFFFFFFF
+        ok = self.fits[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return ok
 
-    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one pre-token that comes in pieces, in memory bounded by the lookahead.
-
-        ``last[i]`` is the last id of the encoding of the first i bytes, which is unique; an id ends it if it
-        matches there and may follow the last id before it. Every later prefix ends in an id that starts within
-        the lookahead, so ids that the paths from all these positions share are final.
-        """
-        rank, look, size_of = self.rank, self.lookahead, self.bytes
-        tail, last = bytearray(), [None]  # last[0] is the id before the tail
-
-        def ends(at: int) -> list[int]:
-            path = []
-            while at > 0:
-                path.append(at)
-                at -= len(size_of[last[at]])
-            return path[::-1]
+    def _step(self, tail: bytes, last: list[int], begin: int) -> None:
+        """Extends ``last``, the last id of the encoding of each beginning of ``tail``, from byte ``begin`` to the end."""
+        ending, fits = self.ending.get, self.fits.get
+        for n in range(begin + 1, len(tail) + 1):
+            i = n
+            while i:
+                i -= 1
+                t = ending(tail[i:n])
+                if t is None:
+                    raise ValueError("the vocabulary lacks a byte")
+                if t >= 0:
+                    before = last[i]
+                    if before < 0:
+                        last.append(t)
+                        break
+                    key = before << 32 | t
+                    ok = fits(key)
+                    if ok or ok is None and self._adjoin(key):
+                        last.append(t)
+                        break
 
+    def _ends(self, last: list[int], at: int) -> list[int]:
+        """Token ends of the encoding of the first ``at`` bytes."""
+        size_of, path = self.bytes, []
+        while at > 0:
+            path.append(at)
+            at -= len(size_of[last[at]])
+        return path[::-1]
+
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
+        """Ids of one pre-token that comes in pieces."""
+        tail, last = b"", [-1]  # last[0] is the id before the tail
         for piece in pieces:
-            for byte in piece:
-                tail.append(byte)
+            for at in range(0, len(piece), 4 * self.lookahead):
+                done = len(tail)
+                tail += piece[at : at + 4 * self.lookahead]
+                self._step(tail, last, done)
                 n = len(tail)
-                for size in range(min(n, look), 0, -1):
-                    t = rank.get(bytes(tail[n - size :]))
-                    if t is not None and ((before := last[n - size]) is None or self._adjoin(before, t)):
-                        last.append(t)
-                        break
-                if n >= 4 * look:
-                    shared = ends(n)
-                    for end in range(n - 1, n - look - 1, -1):
-                        path, m = ends(end), 0
+                if n < 4 * self.lookahead:
+                    continue
+                shared = self._ends(last, n)
+                for j in range(max(1, n - self.lookahead), n):
+                    if tail[j:] in self.more:
+                        path, m = self._ends(last, j), 0
                         while m < len(shared) and m < len(path) and shared[m] == path[m]:
                             m += 1
                         shared = shared[:m]
-                    for at in shared:
-                        yield last[at]
-                    if shared:
-                        del tail[: shared[-1]]
-                        del last[: shared[-1]]
-        for at in ends(len(tail)):
-            yield last[at]
+                yield from (last[x] for x in shared)
+                if shared:
+                    tail, last = tail[shared[-1] :], last[shared[-1] :]
+        yield from (last[x] for x in self._ends(last, len(tail)))
 
     def word(self, w: str) -> tuple[int, ...]:
-        ids = self.cache.get(w)
-        if ids is None:
-            b = w.encode("utf-8")
-            if len(b) > LONG:
-                return tuple(self.stream([b]))
-            ids = tuple(self.merge(b))
+        """Ids of one pre-token, kept for the next time it occurs."""
+        b = w.encode("utf-8", "replace")
+        ids = tuple(self.stream((b,)))
+        if len(b) <= self.lookahead:
             if len(self.cache) >= self.cache_size:
                 self.cache.clear()
             self.cache[w] = ids
         return ids
 
-    def encode_pieces(self, pieces: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in pieces of any length."""
-        hold = ""
-        for piece in pieces:
-            hold += piece
+    def _run(self, feed: _Feed) -> Iterator[bytes]:
+        """Bytes of the one pre-token, begun in ``feed.hold``, that goes on over pieces. Of white space the last character is held back, since it may belong to what follows."""
+        h, at = feed.hold, 0
+        if h[:2].isspace():
+            kind = self.kinds[0]
+        else:
+            at = int(h[0] == " ")
+            kind = next(k for k in self.kinds[1:] if k.match(h, at).end() > at)
+        back = int(kind is self.kinds[0])
+        while True:
+            end = kind.match(feed.hold, at).end()
+            over = end < len(feed.hold)
+            yield feed.hold[: end - back].encode("utf-8", "replace")
+            keep = feed.hold[end - back :]
+            if over:
+                feed.hold = keep
+                return
+            if not feed.more(keep):
+                yield keep.encode("utf-8", "replace")
+                feed.hold = ""
+                return
+            at = 0
+
+    def chunks(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a text that comes in pieces of any length, in lists."""
+        feed, get, slow = _Feed(pieces), self.cache.get, self.word
+        while feed.more(feed.hold):
+            out: list[int] = []
+            if feed.next is None:
+                for w in self.split.findall(feed.hold):
+                    out += get(w) or slow(w)
+                yield out
+                return
             end = 0
-            for m in self.split.finditer(hold):
-                if m.end() > len(hold) - MARGIN:
+            for m in self.split.finditer(feed.hold):
+                if m.end() > len(feed.hold) - MARGIN:
                     break
-                yield from self.word(m.group())
+                out += get(w := m.group()) or slow(w)
                 end = m.end()
-            hold = hold[end:]
-        for w in self.split.findall(hold):
-            yield from self.word(w)
+            yield out
+            feed.hold = feed.hold[end:]
+            if len(feed.hold) >= self.piece:  # a pre-token that is longer than a piece
+                yield from ([i] for i in self.stream(self._run(feed)))
+        if feed.hold:
+            yield [i for w in self.split.findall(feed.hold) for i in (get(w) or slow(w))]
+
+    def encode_pieces(self, pieces: Iterable[str]) -> Iterator[int]:
+        """The same, id by id."""
+        for c in self.chunks(pieces):
+            yield from c
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; the empty list for an empty and for a null text. Special tokens' strings are ordinary text."""
-        if not text:
-            return []
         out: list[int] = []
-        get, slow = self.cache.get, self.word
-        if len(text) <= PIECE:
-            for w in self.split.findall(text):
-                out += get(w) or slow(w)
-        else:
-            for m in self.split.finditer(text):
-                out += get(w := m.group()) or slow(w)
+        if text:
+            for c in self.chunks(text[i : i + self.piece] for i in range(0, len(text), self.piece)):
+                out += c
         return out
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
@@ -187,8 +261,10 @@ def encode_column(df: DataFrame, key: str, text: str, vocab: str) -> DataFrame:
     def run(batches):
         t = transducer(vocab)
         for b in batches:
-            ids = [t.encode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            ids = [np.asarray(t.encode(x), dtype=np.int32) for x in b.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "ids"])
 
     src = spread(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")))
     kind = src.schema[key].dataType.simpleString()
@@ -211,7 +287,7 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             same = ["".join(t.decode(i)) == (x or "") for i, x in zip(ids, pdf["text"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_ids": [len(i) for i in ids], "same": same})
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_ids long, same boolean")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInPandas(run, "doc_id long, n_ids long, same boolean")
 
 
 QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
