@@ -74,23 +74,15 @@ def _allocate(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(quota=q)[["unit", "category", "have", "needed", "quota"]]
 
 
-def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str, key: Column, share: str, floor: str, total: str) -> tuple[DataFrame, DataFrame]:
-    """(sample, report) of ``rows``.
+def quota_report(rows: DataFrame, targets: DataFrame, unit: str, category: str, share: str, floor: str, total: str) -> DataFrame:
+    """``unit, category, have, needed, quota`` of each target row.
 
-    ``targets`` has one row for each unit and category: share, least number and the unit's wanted size. The
-    report has ``unit, category, have, needed, quota`` of each target row; needed is the greater of floor and
-    share * size, nulls ignored. Units and categories without targets give no sample rows. ``key`` is a
-    deterministic random long; equal keys are broken by the row's other columns, so the sample is repeatable.
-    A category's rows are spread over ranges of the key: ranges below the quota are kept whole, and the range in
-    which the quota ends is cut into finer ones until it has at most ``RANGE_ROWS`` rows; only that one is ranked, so
-    no task sorts a whole category however large it is. Empty tables give empty results.
+    ``targets`` has one row for each unit and category: share, least number and the unit's wanted size. Needed is the
+    greater of floor and share * size, nulls ignored. Rows and targets with a null unit or category are left out; of
+    repeated targets the greatest numbers count. Rows are counted in each task before the shuffle.
     """
     u, c = F.col(f"`{unit}`"), F.col(f"`{category}`")
-    # a range of keys is a run of leading bits, in the order of signed numbers
-    at = lambda bits: F.shiftright("_k", 64 - bits)
-    keyed = rows.where(u.isNotNull() & c.isNotNull()).withColumns({"_u": u, "_c": c, "_k": key})
-    per_range = keyed.groupBy("_u", "_c", at(RANGE_BITS).alias("_r")).agg(F.count(F.lit(1)).alias("n"))
-    have = per_range.groupBy("_u", "_c").agg(F.sum("n").alias("have"))
+    have = rows.where(u.isNotNull() & c.isNotNull()).groupBy(u.alias("_u"), c.alias("_c")).agg(F.count(F.lit(1)).alias("have"))
     t = targets.select(
         u.alias("unit"), c.alias("category"), F.col(share).cast("double").alias("share"), F.col(floor).cast("long").alias("floor"), F.col(total).cast("long").alias("total")
     ).where("unit is not null and category is not null")
@@ -100,8 +92,25 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str,
     kind = {f.name: f.dataType.simpleString() for f in targets.schema}
     # one group holds a unit's categories (counts, not rows)
     report = t.groupBy("unit").applyInPandas(_allocate, f"unit {kind[unit]}, category {kind[category]}, have long, needed double, quota long")
+    return report.select(F.col("unit").alias(unit), F.col("category").alias(category), "have", "needed", "quota")
+
+
+def quota_sample(rows: DataFrame, report: DataFrame, unit: str, category: str, key: Column) -> DataFrame:
+    """The ``rows`` of smallest ``key`` of each unit and category, as many as the report's quota.
+
+    Units and categories without targets give no rows. ``key`` is a deterministic random long; equal keys are broken by
+    the row's other columns, so the sample is repeatable.
+    A category's rows are spread over ranges of the key: ranges below the quota are kept whole, and the range in
+    which the quota ends is cut into finer ones until it has at most ``RANGE_ROWS`` rows; only that one is ranked, so
+    no task sorts a whole category however large it is. Empty tables give empty results.
+    """
+    u, c = F.col(f"`{unit}`"), F.col(f"`{category}`")
+    # a range of keys is a run of leading bits, in the order of signed numbers
+    at = lambda bits: F.shiftright("_k", 64 - bits)
+    keyed = rows.where(u.isNotNull() & c.isNotNull()).withColumns({"_u": u, "_c": c, "_k": key})
+    per_range = keyed.groupBy("_u", "_c", at(RANGE_BITS).alias("_r")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_u", "_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = report.select(F.col("unit").alias("_u"), F.col("category").alias("_c"), F.col("quota").alias("_room"))
+    room = report.select(u.alias("_u"), c.alias("_c"), F.col("quota").alias("_room"))
     bits, sample = RANGE_BITS, None
     while True:
         cuts = per_range.withColumn("_before", before).join(room, ["_u", "_c"]).where("_before < _room")
@@ -120,28 +129,33 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, category: str,
     rank = F.row_number().over(Window.partitionBy("_u", "_c", "_r").orderBy("_k", *[F.col(f"`{x}`") for x in rows.columns]))
     ranked = near.where("n > _room").withColumn("_rank", rank).where("_rank <= _room")
     sample = sample.unionByName(ranked.select(*rows.columns))
-    return sample, report.select(F.col("unit").alias(unit), F.col("category").alias(category), "have", "needed", "quota")
+    return sample
 
 
-def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = eligible(reads_of(table(spark, sf_dir, "tagged_reads").select("sample_id", "query_name", "nc", "ordinal")))
-    key = F.xxhash64(F.lit(42), F.col("sample_id"), F.col("query_name"))
-    return quota_sample(rows, table(spark, sf_dir, "nc_targets"), "sample_id", "nc", key, "target_share", "min_rows", "sample_rows")
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eligible(reads_of(table(spark, sf_dir, "tagged_reads").select("sample_id", "query_name", "nc", "ordinal")))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota_report(_rows(spark, sf_dir), table(spark, sf_dir, "nc_targets"), "sample_id", "nc", "target_share", "min_rows", "sample_rows")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets that can't be met."""
-    return _run(spark, sf_dir)[1].where("have < needed").select("sample_id", "nc")
+    return _report(spark, sf_dir).where("have < needed").select("sample_id", "nc")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Available and wanted numbers and the quota of every target."""
-    return _run(spark, sf_dir)[1].withColumn("needed", F.round("needed", 6))
+    return _report(spark, sf_dir).withColumn("needed", F.round("needed", 6))
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn reads."""
-    return _run(spark, sf_dir)[0]
+    rows = written(_rows(spark, sf_dir))
+    key = F.xxhash64(F.lit(42), F.col("sample_id"), F.col("query_name"))
+    report = quota_report(rows, table(spark, sf_dir, "nc_targets"), "sample_id", "nc", "target_share", "min_rows", "sample_rows")
+    return quota_sample(rows, written(report), "sample_id", "nc", key)
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample}

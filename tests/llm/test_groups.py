@@ -201,7 +201,8 @@ def test_sample_holds_the_smallest_keys(spark, monkeypatch, range_rows):
     reads = spark.createDataFrame(rows, "sample_id string, query_name string, nc int")
     targets = spark.createDataFrame([("s", 0, 0.6, 0, 500), ("s", 1, 0.2, 3, 500), ("s", 2, 0.1, 1, 500), ("s", 9, 0.1, 4, 500), ("u", 1, 0.5, 2, 10)], "sample_id string, nc int, target_share double, min_rows int, sample_rows long")
     key = F.xxhash64(F.lit(1), F.col("query_name"))
-    s, rep = quotas.quota_sample(quotas.eligible(reads), targets, "sample_id", "nc", key, "target_share", "min_rows", "sample_rows")
+    rep = quotas.quota_report(quotas.eligible(reads), targets, "sample_id", "nc", "target_share", "min_rows", "sample_rows").cache()
+    s = quotas.quota_sample(quotas.eligible(reads), rep, "sample_id", "nc", key)
     quota = {(x.sample_id, x.nc): x for x in rep.collect()}
     got = s.collect()
     for (u, c), x in quota.items():
