@@ -83,6 +83,9 @@ TASK_IDS = 4_000_000
 #: groups whose estimates are shipped to all tasks (about 200 bytes each); with more of them, sorted pieces are joined with the estimates
 SHIPPED_GROUPS = 500_000
 
+#: how much finer the digest of a group is made whose estimates are beyond the bound
+FINER = 20
+
 #: partial digests of one group that one task merges; more are first merged by parts
 FAN = 512
 
@@ -141,7 +144,7 @@ def measurements(df: DataFrame, ident: str, keys: list[str], metrics: list[str])
     """
     rows = spread(df.select(F.col(f"`{ident}`").cast("long").alias("_id"), *keys, *metrics))
     twice = written(repeated_ids(df, ident))
-    one = rows.join(twice, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*keys, *metrics)).alias("r")).select("r.*")
+    one = written(rows.join(twice, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*keys, *metrics)).alias("r")).select("r.*"))
     return rows.join(twice, "_id", "left_anti").select(*keys, *metrics).unionByName(one)
 
 
@@ -333,46 +336,28 @@ def _errors(c: DataFrame, qs) -> DataFrame:
     return c.withColumn("err", F.array(*err))
 
 
-def _bisect(t: pa.Table, qs, bound: float) -> dict[str, list]:
-    """Next bounds and estimates of groups: an estimate beyond ``bound`` goes to the middle of what is left of its range, in the order of all floats of 32 bits."""
-    num = lambda x: np.where((i := x.astype(np.float32).view(np.int32).astype(np.int64)) < 0, -(i & 0x7FFFFFFF), i)
-    back = lambda i: np.where(i < 0, -i | 0x80000000, i).astype(np.uint32).view(np.float32).astype(np.float64)
-    mat = lambda n: np.array(t.column(n).to_pylist(), dtype=np.float64).reshape(-1, len(qs))
-    los, his, est, below, upto, err = (mat(n) for n in ("los", "his", "est", "below", "upto", "err"))
-    want = np.asarray(qs) * t.column("n").to_numpy()[:, None]
-    open_ = err > bound
-    los, his = np.where(open_ & (upto < want), back(num(est) + 1), los), np.where(open_ & (below > want), back(num(est) - 1), his)
-    est = np.where(open_, back((num(los) + num(his)) // 2), est)
-    return {"los": los, "his": his, "est": est}
-
-
-def certify(rows: DataFrame, est: DataFrame, keys: list[str], metrics: dict[str, tuple[float, float]], qs=QUANTILES, bound: float = RANK_BOUND) -> DataFrame:
+def certify(rows: DataFrame, est: DataFrame, keys: list[str], metrics: dict[str, tuple[float, float]], qs=QUANTILES, bound: float = RANK_BOUND, delta: int = DELTA) -> DataFrame:
     """``keys, n, q, estimate, rank_error``: estimates whose rank error a counting pass has found to be within ``bound``.
 
     ``rank_error`` is the distance of q from the ranks that the estimate has in the data, as a share of n; it is 0
     where the wanted rank lies among values equal to the estimate. Groups with an estimate beyond the bound are
-    counted again with a better one, by bisection of their range of values, until none is left (at most 33 passes).
+    digested again, ``FINER`` times as finely, and counted again, until none is left; a digest finer than a group has
+    values holds each of them, so this ends.
     """
-    m = len(qs)
-    kinds = _key_schema(rows, keys)
-    every = lambda c: F.array(*[F.col(c).cast("double")] * m)
-    todo = est.withColumns({"los": every("lo"), "his": every("hi")})
+    m, by = len(qs), _groups_of(keys)
     done = []
     while True:
-        c = written(_errors(counted(rows, todo, keys, metrics, m), qs))
+        c = written(_errors(counted(rows, est, keys, metrics, m), qs))
         worst = F.array_max("err")
         done.append(c.where(worst <= bound).select(*keys, "n", "est", "err"))
-        left = c.where(worst > bound)
-        if left.isEmpty():
+        bad = c.where(worst > bound).select(*keys)
+        if bad.isEmpty():
             break
-
-        def run(batches):
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                new = {k: _lists(v.ravel(), np.full(len(v), m), np.float64) for k, v in _bisect(t, qs, bound).items()}
-                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in [*keys, "n"]], *new.values()], names=[*keys, "n", *new])
-
-        todo = written(left.mapInArrow(run, f"{kinds}, n long, los array<double>, his array<double>, est array<double>"))
+        delta *= FINER
+        match = lambda names: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]
+        named = bad.withColumnsRenamed({k: f"_{k}" for k in keys})
+        rows = rows.join(named.select(*[f"_{k}" for k in by]).distinct(), match(by), "left_semi")
+        est = written(estimates(digests(rows, keys, metrics, delta), keys, qs).join(named, match(keys), "left_semi"))
     all_ = reduce(DataFrame.unionByName, done)
     r = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col("est")[j].alias("estimate"), F.col("err")[j].alias("rank_error")) for j, q in enumerate(qs)]))
     return all_.select(*keys, "n", r.alias("r")).select(*keys, "n", "r.*")
@@ -382,11 +367,9 @@ def certify(rows: DataFrame, est: DataFrame, keys: list[str], metrics: dict[str,
 RANGES = {"null_delta": (-1.0, 1.0), "null_max_cluster_sums": (0.0, float("inf"))}
 
 
-def _rows(spark: SparkSession, sf_dir: str, month: bool = False) -> DataFrame:
-    df = table(spark, sf_dir, "null_calibration")
-    if month:
-        df = df.withColumn("month", F.date_format("run_day", "yyyy-MM"))
-    return measurements(df, "calib_id", ["variant_id", "bin_label", "month" if month else "run_day"], list(RANGES))
+def _rows(spark: SparkSession, sf_dir: str, *time: str) -> DataFrame:
+    df = table(spark, sf_dir, "null_calibration").withColumn("month", F.date_format("run_day", "yyyy-MM"))
+    return measurements(df, "calib_id", ["variant_id", "bin_label", *time], list(RANGES))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> int:
@@ -404,7 +387,7 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable form: one digest for each variant, bin, metric and day."""
-    return digests(_rows(spark, sf_dir), ["variant_id", "bin_label", "metric", "run_day"], RANGES, pieces=_pieces(spark, sf_dir))
+    return digests(_rows(spark, sf_dir, "run_day"), ["variant_id", "bin_label", "metric", "run_day"], RANGES, pieces=_pieces(spark, sf_dir))
 
 
 def p1_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +395,7 @@ def p1_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = p1_day_digests(spark, sf_dir).withColumn("month", F.date_format("run_day", "yyyy-MM"))
     keys = ["variant_id", "bin_label", "metric", "month"]
     est = written(estimates(merge_digests(d, keys, pieces=_pieces(spark, sf_dir)), keys, (0.5,)))
-    c = certify(_rows(spark, sf_dir, True), est, keys, RANGES, (0.5,))
+    c = certify(_rows(spark, sf_dir, "month"), est, keys, RANGES, (0.5,))
     return c.select(*keys, "n", F.round("estimate", 6).alias("median"), "rank_error", F.lit(RANK_BOUND).alias("rank_bound"))
 
 

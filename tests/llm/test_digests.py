@@ -63,7 +63,7 @@ def test_estimates_beyond_the_bound_are_refined(spark):
     df, rows = make(spark, 2000)
     got_rows = D.measurements(df, "id", ["k", "day"], ["x"]).cache()
     est = D.estimates(D.digests(got_rows, ["k", "metric"], RANGE, 8), ["k", "metric"], (0.5,)).withColumn("est", F.array(F.lit(0.9)))
-    got = D.certify(got_rows, est, ["k", "metric"], RANGE, (0.5,), bound=0.001).collect()
+    got = D.certify(got_rows, est, ["k", "metric"], RANGE, (0.5,), bound=0.001, delta=8).collect()
     want = exact(rows)
     assert {r.k for r in got} == set(want)
     for r in got:
