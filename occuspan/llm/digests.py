@@ -355,8 +355,9 @@ def certify(rows: DataFrame, est: DataFrame, keys: list[str], metrics: dict[str,
             break
         delta *= FINER
         match = lambda names: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]
-        named = bad.withColumnsRenamed({k: f"_{k}" for k in keys})
-        rows = rows.join(named.select(*[f"_{k}" for k in by]).distinct(), match(by), "left_semi")
+        # written, so that their size is known before the join is planned
+        named = written(bad.withColumnsRenamed({k: f"_{k}" for k in keys}))
+        rows = rows.join(written(named.select(*[f"_{k}" for k in by]).distinct()), match(by), "left_semi")
         est = written(estimates(digests(rows, keys, metrics, delta), keys, qs).join(named, match(keys), "left_semi"))
     all_ = reduce(DataFrame.unionByName, done)
     r = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col("est")[j].alias("estimate"), F.col("err")[j].alias("rank_error")) for j, q in enumerate(qs)]))
