@@ -48,6 +48,27 @@ def tag_array(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
 
 
+def tracks(ma: Column, ns: Column, nl: Column, msp_s: Column, msp_l: Column) -> Column:
+    """Tracks of a read: those of MA where it names any, else nuc from the older nucleosome tags and msp from the patch tags.
+
+    Starts without a length, and lengths without a start, are passed over; tags that are absent give no track.
+    """
+    new = parse_ma(ma)
+    pairs = lambda a, b: F.transform(F.slice(F.arrays_zip(a.alias("start"), b.alias("length")), 1, F.greatest(F.least(F.size(a), F.size(b)), F.lit(0))), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    entry = lambda name, a, b: F.when(a.isNotNull() & b.isNotNull(), F.array(F.struct(F.lit(name).alias("key"), pairs(a, b).alias("value")))).otherwise(F.array())
+    old = F.map_from_entries(F.concat(entry("nuc", ns, nl), entry("msp", msp_s, msp_l)))
+    return F.when(F.size(new) > 0, new).otherwise(old)
+
+
+def modified_calls(mm: Column, code: str = "a") -> Column:
+    """Number of positions that a modified-base tag (MM) calls with a one-letter code, on either strand; 0 for null.
+
+    A section names a base, a strand, its codes and then the distances between calls, one for each call.
+    """
+    sections = F.filter(F.split(F.coalesce(mm, F.lit("")), ";"), lambda s: s.rlike(rf"^[ACGTUN][-+][a-z]*{code}[a-z]*[.?]?(,|$)"))
+    return F.aggregate(sections, F.lit(0), lambda n, s: n + F.size(F.split(s, ",")) - 1)
+
+
 def nucleosome_count(nc: Column, ma: Column, ns: Column) -> Column:
     """Tag ``nc``, else the nuc segments of MA, else the length of ``ns``, else 0."""
     tracks = parse_ma(ma)

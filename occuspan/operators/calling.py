@@ -138,12 +138,12 @@ def levenshtein_pairs(bcs: DataFrame, limit: int = 2) -> DataFrame:
 
 def _synthetic(spark, d) -> DataFrame:
     """Alignments made from lineitem: each line a short run of operations."""
-    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
     q = F.col("l_quantity").cast("int")
     c = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
     cig = F.array(c(S, q % 5 + 1), c(EQ, q + 3), c(X, q % 3 + 1), c(I, q % 4 + 1), c(EQ, F.lit(20)), c(D, q % 6 + 1), c(EQ, q))
     rid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return li.select(rid.alias("read_id"), F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).cast("int").alias("ref_start"), cig.alias("cigar"), q.alias("qty"))
+    return li.select(rid.alias("read_id"), F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).cast("int").alias("ref_start"), cig.alias("cigar"), q.alias("qty"), F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 17).cast("int").alias("at"))
 
 
 def cigar_blocks_q(spark, d):
@@ -170,6 +170,12 @@ def call_variants_q(spark, d):
     return c.groupBy("status", "bc_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("var_ids")).cast("long").alias("n_ids"))
 
 
+def variant_calls(spark, d):
+    """Reads of each call of the derived alignments."""
+    c = call_variants(_aligned(spark, d), REF, (30, 89), (60, 80), 10)
+    return c.select(F.explode("var_ids").alias("variant_id")).groupBy("variant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def extract_barcode(spark, d):
     """Barcodes of the derived alignments by length."""
     c = call_variants(_aligned(spark, d), REF, (0, 119), (10, 25), 0, (8, 15)).where("bc_status = 'pass'")
@@ -189,12 +195,57 @@ def d1_neighbour_count(spark, d):
 QUERIES = {
     "cigar_blocks": cigar_blocks_q,
     "call_variants": call_variants_q,
+    "variant_calls": variant_calls,
     "extract_barcode": extract_barcode,
     "barcode_levenshtein_pairs": barcode_levenshtein_pairs,
     "d1_neighbour_count": d1_neighbour_count,
 }
 
+#: the derived alignments in SQL: their paired blocks, and what the caller needs of the others
+_AL = """
+x as (select row_number() over () as read_id, cast(l_quantity as int) as q, cast(l_partkey % 50 as int) as r0,
+    translate(concat(md5(concat(l_suppkey, '/0')), md5(concat(l_suppkey, '/1')), md5(concat(l_suppkey, '/2')), md5(concat(l_suppkey, '/3')), md5(concat(l_suppkey, '/4')), md5(concat(l_suppkey, '/5'))), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq
+  from lineitem),
+y as (select *, q % 5 + 1 as qa, q % 5 + 1 + q + 3 as qx, q % 5 + 1 + q + 3 + q % 3 + 1 as qi, q % 5 + 1 + q + 3 + q % 3 + 1 + q % 4 + 1 as qb, q % 5 + 1 + q + 3 + q % 3 + 1 + q % 4 + 1 + 20 as qc,
+    r0 + q + 3 as rx, r0 + q + 3 + q % 3 + 1 as ri, r0 + q + 3 + q % 3 + 1 + 20 as rd, r0 + q + 3 + q % 3 + 1 + 20 + q % 6 + 1 as rc from x),
+z as (select *, rc + q as ref_end from y),
+paired as (select read_id, q, seq, unnest([{'k': qa, 'r': r0, 'n': q + 3}, {'k': qx, 'r': rx, 'n': q % 3 + 1}, {'k': qb, 'r': ri, 'n': 20}, {'k': qc, 'r': rc, 'n': q}]) as o from z)"""
+_IDS = f"""
+snv0 as (select read_id, q, qx, rx, seq, unnest(range(greatest(rx, 30), least(rx + q % 3 + 1, 90))) as p from z where r0 <= 89 and ref_end > 30 and rx <= 89),
+ids as (
+  select read_id, concat(p + 1, ':', substr('{REF}', cast(p - 30 + 1 as bigint), 1), '>', substr(seq, cast(qx + p - rx + 1 as bigint), 1)) as id from snv0 where ((qx + p - rx + 1) * 7 + q) % 40 >= 10 and p - 30 < {len(REF)}
+  union all
+  select read_id, concat(ri + 1, ':+', substr(seq, qi + 1, q % 4 + 1)) from z where r0 <= 89 and ref_end > 30 and ri between 30 and 89 and list_min(list_transform(range(0, q % 4 + 1), lambda j: ((qi + j + 1) * 7 + q) % 40)) >= 10
+  union all
+  select read_id, concat(greatest(rd, 30) + 1, ':', least(rd + q % 6 + 1, 90) - greatest(rd, 30), substr('{REF}', greatest(rd, 30) - 30 + 1, least(rd + q % 6 + 1, 90) - greatest(rd, 30)))
+    from z where r0 <= 89 and ref_end > 30 and rd <= 89 and greatest(rd, 30) < least(rd + q % 6 + 1, 90))"""
+
 ORACLES = {
+    "call_variants": f"""
+with {_AL}, {_IDS},
+sp as (select read_id, sum(greatest(0, least(o.r + o.n, 80) - greatest(o.r, 60))) as n from paired group by 1),
+k as (select read_id, count(*) as n_ids from ids group by 1)
+select status, case when status <> 'pass' or n = 0 then 'no_barcode_coverage' when n < 13 then 'barcode_too_short' when n > 17 then 'barcode_too_long' else 'pass' end as bc_status,
+  count(*) as n, cast(sum(coalesce(n_ids, 0)) as bigint) as n_ids
+from (select z.*, sp.n, k.n_ids, case when r0 <= 89 and ref_end > 30 then 'pass' else 'no_promoter_coverage' end as status from z join sp using (read_id) left join k using (read_id)) group by 1, 2""",
+    "variant_calls": f"with {_AL}, {_IDS} select id as variant_id, count(*) as n from ids group by 1",
+    "extract_barcode": f"""
+with {_AL},
+at0 as (select read_id, q, seq, unnest(range(o.k + greatest(o.r, 10) - o.r, o.k + least(o.r + o.n, 25) - o.r)) as k from paired where greatest(o.r, 10) < least(o.r + o.n, 25)),
+b as (select read_id, count(*) as len, string_agg(substr(seq, cast(k + 1 as bigint), 1), '' order by k) as bc, avg(((k + 1) * 7 + q) % 40) as bq from at0 group by 1)
+select cast(len as int) as len, count(*) as n, round(sum(bq), 4) as qual_sum, min(bc) as first_bc from b where len between 8 and 15 group by 1""",
+    "d1_neighbour_count": V.sql(
+        "barcodes",
+        """
+with b as (select distinct barcode from barcodes where barcode is not null),
+i as (select barcode, unnest(range(0, length(barcode) + 1)) as i from b),
+x as (select barcode, i, unnest(['A', 'C', 'G', 'T']) as c from i),
+s as (
+  select barcode, concat(substr(barcode, 1, i), c, substr(barcode, i + 1)) as s from x
+  union select barcode, concat(substr(barcode, 1, i), c, substr(barcode, i + 2)) from x where i < length(barcode)
+  union select barcode, concat(substr(barcode, 1, i), substr(barcode, i + 2)) from i where i < length(barcode))
+select cast(length(barcode) as int) as len, cast(k as int) as neighbours, count(*) as n from (select barcode, count(*) as k from s where s <> barcode group by 1) group by 1, 2""",
+    ),
     "cigar_blocks": f"""
 with x as (select cast(l_quantity as int) as q, cast(l_partkey % 50 as int) as r0 from lineitem),
 ops as (select unnest([

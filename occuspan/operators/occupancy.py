@@ -20,10 +20,13 @@ def binned(segments: DataFrame, spec=V.BIN_SPEC) -> DataFrame:
 def covered(segs: DataFrame, window=V.WINDOW) -> DataFrame:
     """``read_id, bin, s, e``: disjoint half-open stretches that each read's footprints cover, clipped to the window.
 
+    Segments with ``r_start, r_end`` stand on the reference already (:func:`occuspan.operators.alignment.on_reference`);
+    others are of reads that match the reference base by base from its start, so that their query offsets are its positions.
     Overlapping footprints of one read and bin count once. One shuffle by read; nothing is expanded to positions.
     """
     lo, hi = window
-    c = segs.select("read_id", "bin", F.greatest("q_start", F.lit(lo)).alias("s"), F.least(F.col("q_start") + F.col("length"), F.lit(hi)).alias("e")).where("s < e")
+    start, end = (F.col("r_start"), F.col("r_end")) if "r_start" in segs.columns else (F.col("q_start"), F.col("q_start") + F.col("length"))
+    c = segs.select("read_id", "bin", F.greatest(start, F.lit(lo)).alias("s"), F.least(end, F.lit(hi)).alias("e")).where("s < e")
     w = Window.partitionBy("read_id", "bin").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     # what a stretch adds beyond everything that started before it

@@ -208,7 +208,7 @@ from c join delta d on d.variant_id = c.variant_id and d.bin = c.bin and d.pos b
     "interval_union_merge": V.sql(
         "cluster_rows",
         """
-iv as (select library, bin, cast(abs_start as int) as s, cast(abs_end as int) as e from cluster_rows where width <= 400 group by all),
+iv as (select library, bin, cast(abs_start as int) as s, cast(abs_end as int) as e from cluster_rows group by all),
 o as (select *, row_number() over (partition by library, bin order by s, e) as i from iv),
 walk as (
   select library, bin, i, 1 as part, s, e from o where i = 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occuspan.functions import tags
-from occuspan.operators import aggregates, barcode_clusters, calling, filters, kernels, occupancy
+from occuspan.operators import aggregates, alignment, barcode_clusters, calling, filters, kernels, occupancy
 from occuspan.session import written
 
 
@@ -26,7 +26,7 @@ class CallConfig:
 
 def filter_reads(reads: DataFrame, contigs: DataFrame, **knobs) -> tuple[DataFrame, DataFrame]:
     """Stage one on BAM rows: (reads that pass, with ``nc`` and ``bn``; counts of each fate)."""
-    r = reads.withColumn("qlen", F.length("seq")).withColumn("m6a", F.coalesce(F.element_at("tags", "m6a").try_cast("double"), F.lit(0.0)))
+    r = alignment.with_methylation(reads).withColumn("qlen", F.length("seq"))
     r = filters.with_contigs(r, contigs).withColumn("disposition", filters.disposition(**knobs))
     ns = tags.tag_array(F.element_at("tags", "ns"))
     nc = tags.nucleosome_count(F.element_at("tags", "nc").try_cast("int"), F.element_at("tags", "MA"), ns)

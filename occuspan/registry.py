@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from occuspan.operators import aggregates, barcode_clusters, calling, filters, intervals, joins, kernels, motifs, occupancy, ordered, pwm, quality
+from occuspan.operators import aggregates, alignment, barcode_clusters, calling, cooccupancy, filters, intervals, joins, kernels, motifs, occupancy, ordered, pwm, quality
 
-_MODULES = (intervals, occupancy, filters, calling, aggregates, joins, ordered, motifs, barcode_clusters, kernels, pwm, quality)
+_MODULES = (intervals, occupancy, alignment, filters, calling, aggregates, joins, ordered, motifs, barcode_clusters, kernels, cooccupancy, pwm, quality)
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = (
     "file string, ordinal bigint, read_id string, flag int, rname string, ref_start int, ref_end int, mapq int, "
@@ -88,31 +88,79 @@ def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
         z.close()
 
 
-def index_starts(path: str) -> list[int]:
-    """Virtual offsets of record starts that a ``.bai`` index names, sorted; none without an index."""
+class Index:
+    """What a ``.bai`` index says: record starts, the first record of each 16 kb window of a contig, and read counts."""
+
+    def __init__(self, data: bytes):
+        self.starts: list[int] = []
+        self.windows: list[list[int]] = []
+        self.counts: list[tuple[int, int]] = []
+        at, out = 8, set()
+        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+            n, count = struct.unpack_from("<i", data, at)[0], (0, 0)
+            at += 4
+            for _ in range(n):
+                number, chunks = struct.unpack_from("<Ii", data, at)
+                at += 8
+                if number == 37450:  # the pseudo-bin holds counts in the place of its second chunk
+                    count = struct.unpack_from("<QQ", data, at + 16)
+                else:
+                    out.update(struct.unpack_from("<Q", data, at + 16 * i)[0] for i in range(chunks))
+                at += 16 * chunks
+            n = struct.unpack_from("<i", data, at)[0]
+            at += 4
+            linear = list(struct.unpack_from(f"<{n}Q", data, at))
+            out.update(v for v in linear if v)
+            at += 8 * n
+            self.windows.append(linear)
+            self.counts.append(count)
+        self.unplaced = struct.unpack_from("<Q", data, at)[0] if len(data) >= at + 8 else 0
+        self.starts = sorted(out)
+
+    def start_of(self, contig: int, position: int) -> int | None:
+        """Virtual offset from which every record that overlaps ``position`` or later of a contig follows; None where it has none."""
+        w = self.windows[contig] if contig < len(self.windows) else []
+        at = position >> 14
+        return next((v for v in w[at:] if v), None) if at < len(w) else None
+
+
+def index_of(path: str) -> Index | None:
+    """The index beside a file; None without one."""
     for p in (path + ".bai", os.path.splitext(path)[0] + ".bai"):
         if os.path.exists(p):
-            break
-    else:
-        return []
-    data = open(p, "rb").read()
-    if data[:4] != b"BAI\x01":
+            with open(p, "rb") as f:
+                data = f.read()
+            return Index(data) if data[:4] == b"BAI\x01" else None
+    return None
+
+
+def index_starts(path: str) -> list[int]:
+    """Virtual offsets of record starts that a ``.bai`` index names, sorted; none without an index."""
+    i = index_of(path)
+    return i.starts if i else []
+
+
+def index_counts(spark: SparkSession, path: str):
+    """``rname, mapped, unmapped`` of each contig by the index alone, and of reads without a contig under null; no rows without an index."""
+    i, kind = index_of(path), "rname string, mapped long, unmapped long"
+    if not i:
+        return spark.createDataFrame([], kind)
+    names = [n for n, _ in read_header(path)[1]]
+    return spark.createDataFrame([(n, *map(int, c)) for n, c in zip(names, i.counts)] + [(None, 0, i.unplaced)], kind)
+
+
+def bytes_array(b: bytes) -> list[int]:
+    """Integers of a tag stored as plain bytes: the widest unsigned width that fits and gives no value of 100,000 or more, else signed words."""
+    if not b:
         return []
-    at, out = 8, set()
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        n = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(n):
-            number, chunks = struct.unpack_from("<Ii", data, at)
-            at += 8
-            if number != 37450:  # the pseudo-bin holds counts
-                out.update(struct.unpack_from("<Q", data, at + 16 * i)[0] for i in range(chunks))
-            at += 16 * chunks
-        n = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        out.update(v for v in struct.unpack_from(f"<{n}Q", data, at) if v)
-        at += 8 * n
-    return sorted(out)
+    for size, kind in ((4, "I"), (2, "H")):
+        if len(b) % size == 0:
+            v = struct.unpack(f"<{len(b) // size}{kind}", b)
+            if max(v) < 100_000:
+                return list(v)
+    if len(b) % 4:
+        raise ValueError(f"no array of integers: {len(b)} bytes")
+    return list(struct.unpack(f"<{len(b) // 4}i", b))
 
 
 def _tags(b: bytes) -> dict[str, str]:
@@ -172,20 +220,42 @@ class _Part(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    """Options: ``path`` (file or folder), ``splitBytes`` (64 MB), and ``contig``, ``start``, ``end`` for an overlap scan."""
+    """Options: ``path`` (file or folder), ``splitBytes`` (64 MB), and ``contig``, ``start``, ``end`` for an overlap scan.
+
+    Filters on ``rname`` (equality), ``ref_start`` (upper bound) and ``ref_end`` (lower bound) do the same where Spark
+    pushes them (``spark.sql.python.filterPushdown.enabled``); Spark still applies them to the rows. With an index an
+    overlap scan begins at the first record that can overlap, and it ends with the first one behind the region.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.split = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.contig, self.lo, self.hi = options.get("contig"), options.get("start"), options.get("end")
 
+    def pushFilters(self, filters):
+        for f in filters:
+            name, v = getattr(f, "attribute", ()), getattr(f, "value", None)
+            if isinstance(f, EqualTo) and name == ("rname",):
+                self.contig = self.contig or v
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and name == ("ref_start",):
+                self.hi = min(int(self.hi), v + isinstance(f, LessThanOrEqual)) if self.hi else v + isinstance(f, LessThanOrEqual)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name == ("ref_end",):
+                self.lo = max(int(self.lo or 0), v - isinstance(f, GreaterThanOrEqual))
+            yield f  # positions without a contig, and rows without an end, are left to Spark
+
     def partitions(self):
         files = sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".bam")) if os.path.isdir(self.path) else [self.path]
         parts = []
         for f in files:
-            first = read_header(f)[2]
+            _, contigs, first = read_header(f)
+            index = index_of(f)
+            if index and self.contig:
+                at = next((i for i, (n, _) in enumerate(contigs) if n == self.contig), None)
+                first = None if at is None else index.start_of(at, int(self.lo or 0))
+                if first is None:
+                    continue
             cuts = [first]
-            for v in index_starts(f):
+            for v in index.starts if index else ():
                 if v > first and (v >> 16) - (cuts[-1] >> 16) >= self.split:
                     cuts.append(v)
             for a, b in zip(cuts, [*cuts[1:], None]):
@@ -197,7 +267,11 @@ class BamReader(DataSourceReader):
             return
         contigs = read_header(part.path)[1]
         lo, hi = int(self.lo or 0), int(self.hi) if self.hi else None
+        order = {n: i for i, (n, _) in enumerate(contigs)}
+        wanted = order.get(self.contig) if self.contig and index_of(part.path) else None
         for i, r in enumerate(records(part.path, part.start, part.stop, contigs)):
+            if wanted is not None and (r[2] is None or order[r[2]] > wanted or (hi is not None and r[2] == self.contig and r[3] >= hi)):
+                return  # an indexed file is sorted
             if self.contig and (r[2] != self.contig or r[3] is None or (hi is not None and r[3] >= hi) or (r[4] or r[3] + 1) <= lo):
                 continue
             # the ordinal follows the file: the record's block, then its number in the partition
