@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from occuspan.functions import tags
 from occuspan.operators import occupancy as O
-from occuspan.session import table
+from occuspan.session import table, written
 from occuspan.sources import views as V
 
 
@@ -165,48 +165,6 @@ def secondary_freq(spark, d):
     return n.join(m, "variant_id", "left").select("variant_id", "n_reads", F.round(F.coalesce(F.col("top_k") / F.col("n_reads"), F.lit(0.0)), 9).alias("max_freq"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
-#: two sites of the derived molecules: bin, first and last position
-SITES = (("nuc:60-99", "nuc", 60, 99), ("TF:150-179", "TF", 150, 179))
-
-
-def site_states(mols: DataFrame, segs: DataFrame, sites: DataFrame, frac: float = 0.5, window=V.WINDOW) -> DataFrame:
-    """``read_id, variant_id, site_id, occupied`` of every read and site: covered in at least ``frac`` of the site's positions inside the window.
-
-    Overlaps are computed from stretches, not positions. Sites are few: Spark broadcasts them if they are small.
-    """
-    s = sites.select("site_id", "bin", F.greatest("abs_start", F.lit(window[0])).alias("a"), F.least("abs_end", F.lit(window[1] - 1)).alias("b")).where("a <= b")
-    c = O.covered(O.binned(segs), window)
-    j = c.join(s, "bin").where("s <= b and e > a")
-    got = j.groupBy("read_id", "site_id").agg(F.sum(F.least("e", F.col("b") + 1) - F.greatest("s", "a")).alias("k"))
-    full = _each_site(mols, s)
-    return full.join(got, ["read_id", "site_id"], "left").select("read_id", "variant_id", "site_id", (F.coalesce("k", F.lit(0)) / F.col("w") >= frac).alias("occupied"))
-
-
-def _each_site(mols: DataFrame, s: DataFrame) -> DataFrame:
-    """Reads with each site: the site list rides along as one array, so no join is needed."""
-    listed = s.agg(F.collect_list(F.struct("site_id", (F.col("b") - F.col("a") + 1).alias("w"))).alias("l")).withColumn("one", F.lit(1))
-    return mols.select("read_id", "variant_id", F.lit(1).alias("one")).join(listed, "one").select("read_id", "variant_id", F.explode("l").alias("x")).select("read_id", "variant_id", "x.*")
-
-
-def _sites(spark) -> DataFrame:
-    return spark.createDataFrame(list(SITES), "site_id string, bin string, abs_start int, abs_end int")
-
-
-def site_state(spark, d):
-    s = site_states(V.molecules(spark, d), V.segments(spark, d), _sites(spark))
-    return s.groupBy("variant_id", "site_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("occupied"), 1)).alias("occupied"))
-
-
-def conditional_2x2(spark, d):
-    """States of two sites per variant, and the share of the second given the first."""
-    s = site_states(V.molecules(spark, d), V.segments(spark, d), _sites(spark))
-    p = s.groupBy("variant_id", "read_id").agg(F.max(F.when(F.col("site_id") == SITES[0][0], F.col("occupied"))).alias("o1"), F.max(F.when(F.col("site_id") == SITES[1][0], F.col("occupied"))).alias("o2"))
-    k = lambda c: F.count(F.when(c, 1))
-    o1, o2 = F.col("o1"), F.col("o2")
-    g = p.groupBy("variant_id").agg(k(o1 & o2).alias("c11"), k(o1 & ~o2).alias("c10"), k(~o1 & o2).alias("c01"), k(~o1 & ~o2).alias("c00"))
-    return g.withColumn("p1", F.round(F.try_divide("c11", F.col("c11") + F.col("c10")), 9)).withColumn("p0", F.round(F.try_divide("c01", F.col("c01") + F.col("c00")), 9))
-
-
 def empirical_p_of(observed: DataFrame, null: DataFrame, keys: list[str], value: str, draw: str) -> DataFrame:
     """(number of null draws at least as great + 1) / (draws + 1) of each observation; no draws give p = 1.
 
@@ -264,11 +222,41 @@ def at_density(spark, d):
     return s.select("library", "position", F.round(F.avg(F.when(F.col("base").isin("A", "T"), 1.0).otherwise(0.0)).over(w), 9).alias("at"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, qs: tuple[float, ...], buckets: int = 4096) -> DataFrame:
+    """``keys, n, p``: exact percentiles of each group, by linear interpolation between ranks; nulls and NaN are left out, null keys are a group.
+
+    Each group's range is cut into equal buckets, whose counts are added up before the shuffle and give the buckets
+    that hold the wanted ranks; only the distinct values of those buckets are then counted and ordered. So no task
+    holds a group, however large it is. ``df`` is read three times and should be a written table.
+    """
+    x = F.col(value).cast("double")
+    d = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x"))
+    same = lambda k: [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in k]
+    b = d.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(0).cast("int")
+    d = d.join(b, same(keys)).select(*keys, "_x", at.alias("_b"))
+    h = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    h = h.withColumn("_before", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_k"))
+    rank = lambda q: F.lit(q) * (F.col("n") - 1)
+    want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (F.floor(rank(q)) if side == 0 else F.ceil(rank(q))).cast("long").alias("r")) for i, q in enumerate(qs) for side in (0, 1)])
+    r = b.select(*[f"_key_{k}" for k in keys], F.explode(want).alias("w")).select(*[f"_key_{k}" for k in keys], "w.*")
+    need = h.join(r, same(keys)).where((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_k"))).select(*keys, "_b", "i", "side", (F.col("r") - F.col("_before")).alias("_r"))
+    spots = need.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_b").alias("__b")).distinct()
+    v = d.join(spots, [*same(keys), F.col("_b") == F.col("__b")], "left_semi").groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_k"))
+    v = v.withColumn("_before", F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy("_x")) - F.col("_k"))
+    found = v.join(need.withColumnsRenamed({**{k: f"_key_{k}" for k in keys}, "_b": "__b"}), [*same(keys), F.col("_b") == F.col("__b")])
+    found = found.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_k"))).groupBy(*keys, "i").agg(F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("z"))
+    j = found.join(b, same(keys)).withColumn("_t", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1) * (F.col("n") - 1))
+    part = F.col("_t") - F.floor("_t")
+    j = j.select(*keys, "n", "i", F.when(part == 0, F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("z") * part).alias("p"))
+    return j.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda y: y["p"]).alias("p"))
+
+
 def null_percentiles(spark, d):
     """Exact percentiles of the null draws of each bin, for comparison with the digests."""
     n = table(spark, d, "null_calibration").select("calib_id", "bin_label", "null_delta").where("null_delta between -1 and 1").dropDuplicates(["calib_id"])
-    p = F.percentile(F.abs(F.col("null_delta").cast("double")), F.array(F.lit(0.5), F.lit(0.95)))
-    return n.groupBy("bin_label").agg(F.count(F.lit(1)).alias("n"), p.alias("p")).select("bin_label", "n", F.round(F.col("p")[0], 9).alias("p50"), F.round(F.col("p")[1], 9).alias("p95"))
+    p = percentiles(written(n.select("bin_label", F.abs(F.col("null_delta").cast("double")).alias("x"))), ["bin_label"], "x", (0.5, 0.95))
+    return p.select("bin_label", "n", F.round(F.col("p")[0], 9).alias("p50"), F.round(F.col("p")[1], 9).alias("p95"))
 
 
 def contig_nc_histogram(spark, d):
@@ -286,7 +274,8 @@ def variants_per_read(spark, d):
 def metric_clamp(spark, d):
     """Colour range of each library: the 99th percentile of absolute effects, with the share of values beyond it."""
     c = V.cluster_rows(spark, d).select("library", F.abs("mean_signed_delta").alias("x")).where("x is not null")
-    top = c.groupBy("library").agg(F.percentile("x", F.lit(0.99)).alias("top"), F.count(F.lit(1)).alias("n"))
+    c = written(c)
+    top = percentiles(c, ["library"], "x", (0.99,)).select("library", F.col("p")[0].alias("top"), "n")
     k = c.join(top, "library").groupBy("library").agg(F.count(F.when(F.col("x") > F.col("top"), 1)).alias("beyond"))
     return top.join(k, "library").select("library", F.round("top", 9).alias("top"), "n", "beyond")
 
@@ -308,7 +297,7 @@ QUERIES = {
     for f in (
         contig_nc_histogram, variants_per_read, metric_clamp, barcode_lengths, nc_by_tag,
         read_class_counts, variant_counts, variant_type_counts, titv, barcode_tag_counts, variants_report, consensus_variants, cluster_resolution, consensus_corrections,
-        expected_coverage, stats_report, top_cluster, topk_variants, summary_pivot, secondary_freq, site_state, conditional_2x2, empirical_p, nc_ks_chi2, distance_decay, at_density, null_percentiles,
+        expected_coverage, stats_report, top_cluster, topk_variants, summary_pivot, secondary_freq, empirical_p, nc_ks_chi2, distance_decay, at_density, null_percentiles,
     )
 }
 
@@ -321,9 +310,6 @@ cons as (select sample_id, bk, list_sort(list(id)) as ids from per join tot usin
 res as (select t.sample_id, t.bk, t.n_reads, coalesce(c.ids, []) as ids from tot t left join cons c on c.sample_id = t.sample_id and c.bk = t.bk),
 sup as (select r.sample_id, r.bk, count(*) filter (list_sort(list_distinct(w.ids)) = r.ids) / any_value(r.n_reads) as support from res r join raw_ w on w.sample_id = r.sample_id and w.bk = r.bk group by 1, 2)"""
 _TAG = "case when len({0}) = 0 then 'WT' else concat('[\"', array_to_string(list_sort({0}), '\", \"'), '\"]') end"
-_STATE = """site(site_id, bin, a, b) as (values ('nuc:60-99', 'nuc', 60, 99), ('TF:150-179', 'TF', 150, 179)),
-st as (select m.read_id, m.variant_id, s.site_id, count(c.pos) / (any_value(s.b) - any_value(s.a) + 1) >= 0.5 as occupied
-  from molecules m cross join site s left join coverage c on c.read_id = m.read_id and c.bin = s.bin and c.pos between s.a and s.b group by 1, 2, 3)"""
 
 ORACLES = {
     "contig_nc_histogram": V.sql("read_nc reads_meta", "select rname, case rname when 'chr1' then 'genomic' when 'plasmidA' then 'plasmid' else 'skip' end as kind, nc, count(*) as n, round(avg(qlen), 6) as mean_qlen from read_nc join reads_meta using (read_id) group by 1, 2, 3"),
@@ -401,13 +387,6 @@ y as (select ordinal, a[1] as variant_id, list_distinct(list_filter(b, lambda v:
 n as (select variant_id, count(*) as n_reads from y group by 1),
 k as (select variant_id, o_, count(*) as k from (select variant_id, unnest(o) as o_ from y) group by 1, 2)
 select n.variant_id, n_reads, round(coalesce(max(k) / any_value(n_reads), 0), 9) as max_freq, count(k) as n_distinct from n left join k on k.variant_id = n.variant_id group by 1, 2""",
-    ),
-    "site_state": V.sql("molecules coverage", f"with {_STATE} select variant_id, site_id, count(*) as n, count(*) filter (occupied) as occupied from st group by 1, 2"),
-    "conditional_2x2": V.sql(
-        "molecules coverage",
-        f"""with {_STATE}, p as (select variant_id, read_id, bool_or(occupied) filter (site_id = 'nuc:60-99') as o1, bool_or(occupied) filter (site_id = 'TF:150-179') as o2 from st group by 1, 2),
-g as (select variant_id, count(*) filter (o1 and o2) as c11, count(*) filter (o1 and not o2) as c10, count(*) filter (not o1 and o2) as c01, count(*) filter (not o1 and not o2) as c00 from p group by 1)
-select *, round(c11 / nullif(c11 + c10, 0), 9) as p1, round(c01 / nullif(c01 + c00, 0), 9) as p0 from g""",
     ),
     "empirical_p": V.sql(
         "cluster_rows",

@@ -7,6 +7,8 @@ of the sequential rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,19 @@ def cluster(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) -> Dat
 
     A barcode within distance 1 of a centroid looks at the earliest such centroid first, and joins it if their variants
     agree; else it joins the earliest agreeing centroid within its distance; else it becomes a centroid. Nulls are left
-    out; repeated rows of a barcode are one.
+    out; repeated rows of a barcode are one. Each round adds its rows and rewrites none; there are as many rounds as the
+    longest chain of barcodes that wait for one another, which short neighbourhoods keep short.
     """
     bcs = written(bcs.where("barcode is not null").dropDuplicates(["barcode"]))
     cand = written(candidates(bcs, expected, min_jaccard))
     linked = cand.select(F.col("bc").alias("barcode")).distinct()
     # a barcode that could join nobody is a centroid from the start
-    done = Written(bcs.join(linked, "barcode", "left_anti").select("barcode", F.col("barcode").alias("centroid")))
+    done = [written(bcs.join(linked, "barcode", "left_anti").select("barcode", F.col("barcode").alias("centroid")))]
     open_ = Written(linked)
     while not open_.df.isEmpty():
         waits = cand.join(open_.df.select(F.col("barcode").alias("c")), "c").select(F.col("bc").alias("barcode")).distinct()
         ready = open_.df.join(waits, "barcode", "left_anti")
-        heads = done.df.where("barcode = centroid").select(F.col("barcode").alias("c"))
+        heads = reduce(DataFrame.unionByName, done).where("barcode = centroid").select(F.col("barcode").alias("c"))
         c = cand.join(heads, "c").join(ready.select(F.col("barcode").alias("bc")), "bc")
         g = c.groupBy("bc").agg(
             F.min_by(F.struct("c", "compatible"), F.when(F.col("near"), F.col("rank_c"))).alias("first_near"),
@@ -56,12 +59,14 @@ def cluster(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) -> Dat
         )
         pick = F.when(F.col("first_near.compatible"), F.col("first_near.c")).otherwise(F.col("first_ok"))
         now = ready.join(g.select(F.col("bc").alias("barcode"), pick.alias("to")), "barcode", "left").select("barcode", F.coalesce("to", "barcode").alias("centroid"))
-        nxt = Written(done.df.unionByName(now))
-        left = Written(open_.df.join(nxt.df.select("barcode"), "barcode", "left_anti"))
-        done.drop()
+        new = written(now)
+        done.append(new)
+        if len(done) > 20:  # many short rounds: their tables become one, so a plan stays small
+            done = [done[0], written(reduce(DataFrame.unionByName, done[1:]))]
+        left = Written(open_.df.join(new.select("barcode"), "barcode", "left_anti"))
         open_.drop()
-        done, open_ = nxt, left
-    return done.df
+        open_ = left
+    return reduce(DataFrame.unionByName, done)
 
 
 def barcode_table(spark, d) -> DataFrame:

@@ -12,7 +12,7 @@ from occuspan.operators import kernels as K
 from occuspan.operators import motifs as M
 from occuspan.operators import occupancy as O
 from occuspan.operators.joins import overlap_join
-from occuspan.session import table, written
+from occuspan.session import written
 from occuspan.sources import views as V
 
 
@@ -150,7 +150,31 @@ def cooccupancy_secondary(spark, d):
     return secondary_frequency(_sets(spark, d), derived_calls(spark, d), derived_sites(spark), _pairs(spark, d)).withColumn("max_freq", F.round("max_freq", 9))
 
 
-QUERIES = {f.__name__: f for f in (cooccupancy_counts, cooccupancy_pairs, cooccupancy_secondary)}
+#: two sites of the derived molecules whose states are compared
+TWO = (("nuc:60-99", "nuc", 60, 99), ("TF:150-179", "TF", 150, 179))
+
+
+def _two(spark, d) -> DataFrame:
+    return site_sets(V.molecules(spark, d), V.segments(spark, d), spark.createDataFrame(list(TWO), "site_id string, bin string, s int, e int"))
+
+
+def site_state(spark, d):
+    """Reads of each variant and those that occupy each site; the sites are few and their names ride along."""
+    s = _two(spark, d)
+    k = s.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.array_contains("occ", x), 1)).alias(f"o{i}") for i, (x, *_) in enumerate(TWO)])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("site_id"), F.col(f"o{i}").alias("occupied")) for i, (x, *_) in enumerate(TWO)])).alias("x")
+    return k.select("variant_id", "n", each).select("variant_id", "x.site_id", "n", "x.occupied")
+
+
+def conditional_2x2(spark, d):
+    """States of two sites per variant, and the share of the second given the first."""
+    k = lambda c: F.count(F.when(c, 1))
+    o1, o2 = (F.array_contains("occ", x) for x, *_ in TWO)
+    g = _two(spark, d).groupBy("variant_id").agg(k(o1 & o2).alias("c11"), k(o1 & ~o2).alias("c10"), k(~o1 & o2).alias("c01"), k(~o1 & ~o2).alias("c00"))
+    return g.withColumn("p1", F.round(F.try_divide("c11", F.col("c11") + F.col("c10")), 9)).withColumn("p0", F.round(F.try_divide("c01", F.col("c01") + F.col("c00")), 9))
+
+
+QUERIES = {f.__name__: f for f in (cooccupancy_counts, cooccupancy_pairs, cooccupancy_secondary, site_state, conditional_2x2)}
 
 _BASE = f"""
 st(site_id, bin, s, e) as (values {", ".join(f"('{b}:{s}-{e}', '{b}', {s}, {e})" for b, s, e in SITES)}),
@@ -160,7 +184,18 @@ ni as (select site_id, count(*) as n from inst group by 1 having count(*) >= 3),
 pr as (select a.site_id as site1, b.site_id as site2, b.s - 10 as lo, b.e + 10 as hi from st a join ni on ni.site_id = a.site_id join st b on b.site_id <> a.site_id and greatest(a.s - b.e, b.s - a.e) >= 20),
 want as (select site1, site2, lo, hi, variant_id from pr join inst on inst.site_id = pr.site1 union select site1, site2, lo, hi, 'WT' from pr)"""
 
+_STATE = """site(site_id, bin, a, b) as (values ('nuc:60-99', 'nuc', 60, 99), ('TF:150-179', 'TF', 150, 179)),
+st as (select m.read_id, m.variant_id, s.site_id, count(c.pos) / (any_value(s.b) - any_value(s.a) + 1) >= 0.5 as occupied
+  from molecules m cross join site s left join coverage c on c.read_id = m.read_id and c.bin = s.bin and c.pos between s.a and s.b group by 1, 2, 3)"""
+
 ORACLES = {
+    "site_state": V.sql("molecules coverage", f"with {_STATE} select variant_id, site_id, count(*) as n, count(*) filter (occupied) as occupied from st group by 1, 2"),
+    "conditional_2x2": V.sql(
+        "molecules coverage",
+        f"""with {_STATE}, p as (select variant_id, read_id, bool_or(occupied) filter (site_id = 'nuc:60-99') as o1, bool_or(occupied) filter (site_id = 'TF:150-179') as o2 from st group by 1, 2),
+g as (select variant_id, count(*) filter (o1 and o2) as c11, count(*) filter (o1 and not o2) as c10, count(*) filter (not o1 and o2) as c01, count(*) filter (not o1 and not o2) as c00 from p group by 1)
+select *, round(c11 / nullif(c11 + c10, 0), 9) as p1, round(c01 / nullif(c01 + c00, 0), 9) as p0 from g""",
+    ),
     "cooccupancy_counts": V.sql(
         "molecules coverage",
         f"""with {_BASE},

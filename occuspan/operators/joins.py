@@ -28,8 +28,8 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_iv: tuple[str, s
     return j.select(*[F.col("a_" + c).alias(c) for c in a.columns], *[F.col("b_" + c) for c in b.columns])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], l: str, r: str) -> DataFrame:  # noqa: E741
-    """Each left row with the right value nearest to its own, the smaller of two as near; null where the key has none.
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], l: str, r: str, limit: float | None = None) -> DataFrame:  # noqa: E741
+    """Each left row with the right value nearest to its own, the smaller of two as near; null where the key has none, or none within ``limit``.
 
     Both sides are put in one order and the last and next right values are carried along: one shuffle, no pairs.
     """
@@ -41,9 +41,41 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], l: str, r: str)
     lo = F.last(val, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     hi = F.first(val, True).over(w.rangeBetween(0, Window.unboundedFollowing))
     pick = F.when(hi.isNull() | (F.col("_x") - lo <= hi - F.col("_x")), F.coalesce(lo, hi)).otherwise(hi)
+    if limit is not None:
+        pick = F.when(F.abs(pick - F.col("_x")) <= limit, pick)
     return both.withColumn("nearest", pick).where("_row is not null").select("_row.*", "nearest")
 
 
+def nearest_of_few(left: DataFrame, values: DataFrame, l: str, r: str, most: int = 100_000) -> DataFrame:  # noqa: E741
+    """:func:`nearest` of one list for all rows: the sorted list of at most ``most`` distinct values rides along with each row and is
+    searched by halves, so the rows aren't shuffled; with more values than that, rows and values are ordered by blocks of the values."""
+    x, v = F.col(l).cast("double"), values.where(F.col(r).isNotNull()).select(F.col(r).cast("double").alias("_v")).distinct()
+    if v.limit(most + 1).count() <= most:
+        grid = F.broadcast(v.agg(F.sort_array(F.collect_list("_v")).alias("_g")).withColumn("_one", F.lit(1)))
+        # halving steps, from the largest, find the number of values up to x
+        steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length(), -1, -1)])
+        upto = F.aggregate(steps, F.lit(0), lambda k, i: F.when(F.coalesce(F.get("_g", k + i - 1) <= x, F.lit(False)), k + i).otherwise(k))
+        j = left.withColumn("_one", F.lit(1)).join(grid, "_one", "left").withColumn("_k", upto)
+        lo, hi = F.get("_g", F.col("_k") - 1), F.get("_g", F.col("_k"))
+        return j.withColumn("nearest", F.when(hi.isNull() | (x - lo <= hi - x), F.coalesce(lo, hi)).otherwise(hi)).select(*left.columns, "nearest")
+    # blocks begin at every so many-th value; each holds its values and the neighbour on either side
+    cuts = v.select(F.percentile_approx("_v", [i / 256 for i in range(1, 256)], 10_000).alias("c"))
+    block = F.size(F.filter("c", lambda c: c <= F.col("_y")))
+    cuts = cuts.withColumn("_one", F.lit(1))
+    put = lambda df, y: df.withColumns({"_y": y, "_one": F.lit(1)}).join(F.broadcast(cuts), "_one").withColumn("_blk", block).drop("c", "_y", "_one")
+    vb = put(v, F.col("_v"))
+    edge = vb.groupBy("_blk").agg(F.min("_v").alias("a"), F.max("_v").alias("z"))
+    w = Window.orderBy("_blk")  # at most 256 rows
+    every = spread_blocks(left.sparkSession).join(edge, "_blk", "left")
+    prev, nxt = F.last("z", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("a", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    side = every.select("_blk", prev.alias("p"), nxt.alias("n")).select("_blk", F.explode(F.array_compact(F.array("p", "n"))).alias("_v"))
+    return nearest(put(left, x), vb.unionByName(side).distinct(), ["_blk"], l, "_v").drop("_blk")
+
+
+def spread_blocks(spark) -> DataFrame:
+    return spark.range(256).select(F.col("id").cast("int").alias("_blk"))
+
+
 def normalise_scores(df: DataFrame) -> DataFrame:
     """A score table under its common names (any case): position, ref, alt, value, p_value, significant.
 
@@ -111,9 +143,16 @@ def join_secondary_free_anti(spark, d):
 
 def join_nearest_depth(spark, d):
     """The null depth nearest to each variant's reads, from the depths of the null table."""
-    v = table(spark, d, "variant_summary").select("library", "variant_id", "n_reads").where("n_reads is not null").withColumn("one", F.lit(1))
-    g = table(spark, d, "null_calibration").where("coverage_level is not null").select("coverage_level").distinct().withColumn("one", F.lit(1))
-    return nearest(v, g, ["one"], "n_reads", "coverage_level").select("library", "variant_id", "n_reads", F.col("nearest").cast("int").alias("depth"))
+    v = table(spark, d, "variant_summary").select("library", "variant_id", "n_reads").where("n_reads is not null")
+    g = table(spark, d, "null_calibration").select("coverage_level")
+    return nearest_of_few(v, g, "n_reads", "coverage_level").select("library", "variant_id", "n_reads", F.col("nearest").cast("int").alias("depth"))
+
+
+def join_nearest_click(spark, d):
+    """Each variant with the peak of a call of its library within three bases of its position, as a click on a plot finds it."""
+    v = table(spark, d, "variant_summary").where("position is not null").select("library", "variant_id", "position")
+    c = V.cluster_rows(spark, d).where("peak_position is not null").select("library", "peak_position")
+    return nearest(v, c.distinct(), ["library"], "position", "peak_position", 3).where("nearest is not null").select("library", "variant_id", F.col("nearest").cast("int").alias("peak"))
 
 
 def join_interval_overlap(spark, d):
@@ -131,6 +170,7 @@ QUERIES = {
     "join_tag_reads": join_tag_reads,
     "join_secondary_free_anti": join_secondary_free_anti,
     "join_nearest_depth": join_nearest_depth,
+    "join_nearest_click": join_nearest_click,
     "join_interval_overlap": join_interval_overlap,
 }
 
@@ -141,6 +181,14 @@ _SC = """sc as (select cast(1200 + (p_partkey * 7) % 2400 as int) as position, s
 _POS = r"try_cast(nullif(regexp_extract({0}, '^(\d+):', 1), '') as int)"
 
 ORACLES = {
+    "join_nearest_click": V.sql(
+        "cluster_rows",
+        """
+with c as (select distinct library, peak_position as p from cluster_rows where peak_position is not null),
+n as (select v.library, v.variant_id, c.p, row_number() over (partition by v.library, v.variant_id order by abs(c.p - v.position), c.p) as k
+  from variant_summary v join c on c.library = v.library and abs(c.p - v.position) <= 3 where v.position is not null)
+select library, variant_id, cast(p as int) as peak from n where k = 1""",
+    ),
     "mpra_normalise": f"with {_SC} select p_value < 0.05 as significant, count(*) as n, round(sum(value), 4) as value_sum, min(position) as lo from sc group by 1",
     "join_mpra_fallback": f"""with {_SC}, o as (select *, row_number() over (partition by position order by value, ref, alt, p_value) as k, row_number() over (partition by position, ref, alt order by value, p_value) as ke from sc)
 select v.library, case when e.position is not null then 'exact' when f.position is not null then 'position' else 'none' end as match, count(*) as n, round(sum(case when e.position is not null then e.value else f.value end), 4) as value_sum

@@ -222,8 +222,8 @@ class _Part(InputPartition):
 class BamReader(DataSourceReader):
     """Options: ``path`` (file or folder), ``splitBytes`` (64 MB), and ``contig``, ``start``, ``end`` for an overlap scan.
 
-    Filters on ``rname`` (equality), ``ref_start`` (upper bound) and ``ref_end`` (lower bound) do the same where Spark
-    pushes them (``spark.sql.python.filterPushdown.enabled``); Spark still applies them to the rows. With an index an
+    Filters on ``rname`` (equality), ``ref_start`` (upper bound) and ``ref_end`` (lower bound) do the same, since
+    :func:`register` lets Spark push them; Spark still applies them to the rows. With an index an
     overlap scan begins at the first record that can overlap, and it ends with the first one behind the region.
     """
 
@@ -291,7 +291,8 @@ class BamSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``spark.read.format("bam")`` known."""
+    """Makes ``spark.read.format("bam")`` known, and lets Spark push filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,27 +21,30 @@ def fasta_lengths(spark: SparkSession, path: str, keep_skipped: bool = False) ->
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines with their contig; each file is read whole, as one row, since line order is needed."""
-    t = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = t.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).withColumn("head", F.col("line").startswith(">"))
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    """Lines in the order of their file, with the number of their contig; a file is read in splits, line by line, so it may be of any size.
+
+    Within a split lines are read in order, and splits are ordered by where they begin.
+    """
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.rtrim("value").alias("line"))
+    rows = t.withColumn("head", F.col("line").startswith(">"))
+    w = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("contig", F.sum(F.col("head").cast("int")).over(w))
     return rows.withColumn("name", F.when(F.col("head"), F.regexp_extract("line", r"^>(\S*)", 1)))
 
 
 def fasta_sequence(spark: SparkSession, path: str, contig: str) -> str | None:
-    """One contig's bases in capitals; None where the file has no such contig."""
-    name, out = None, []
+    """One contig's bases in capitals, as the caller's parameter; None where there is no such file or the file has no such contig. Other errors of reading are raised."""
     try:
-        for row in spark.read.text(path, wholetext=True).toLocalIterator():
-            for line in row[0].splitlines():
-                if line.startswith(">"):
-                    name = line[1:].split()[0] if line[1:].split() else ""
-                elif name == contig:
-                    out.append(line.strip())
-    except Exception:
+        lines = _lines(spark, path)
+        number = lines.where(F.col("head") & (F.col("name") == contig)).agg(F.min("contig")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if number is None:
         return None
-    return "".join(out).upper() or None
+    rows = lines.where(~F.col("head") & (F.col("contig") == number)).orderBy("file", "block", "n").select(F.trim("line"))
+    return "".join(r[0] for r in rows.toLocalIterator()).upper() or None
 
 
 def pwm_jaspar(spark: SparkSession, path: str) -> DataFrame:

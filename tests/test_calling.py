@@ -5,7 +5,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from occuspan.functions import tags
-from occuspan.operators import barcode_clusters, calling
+from occuspan.operators import alignment, barcode_clusters, calling
+from occuspan.plans import pipeline
 from occuspan.sources import bam, sequences
 
 
@@ -150,6 +151,94 @@ def test_bam_source(spark, tmp_path):
     assert bam.reference_path("@PG\tID:x\tPN:pbmm2\tCL:pbmm2 align -j 4 /d/ref.fa in.bam") == "/d/ref.fa"
 
 
+def index_bam(path, reads, contigs, block=300):
+    """An index of a sorted file as ``write_bam`` makes it: one bin and the windows of each contig."""
+    raw_at, at = [], 4 + 4 + 4 + 4 + sum(4 + len(n) + 1 + 4 for n, _ in contigs)
+    for name, flag, ref, pos, cig, seq, qual, extra in reads:
+        raw_at.append(at)
+        at += 4 + 32 + len(name) + 1 + 4 * len(cig) + (len(seq) + 1) // 2 + len(qual) + len(extra)
+    starts, data = [], open(path, "rb").read()
+    place = 0
+    while place < len(data):
+        starts.append(place)
+        place += struct.unpack_from("<H", data, place + 16)[0] + 1
+    off = lambda x: starts[x // block] << 16 | x % block
+    out = b"BAI\x01" + struct.pack("<i", len(contigs))
+    for c in range(len(contigs)):
+        mine = [(r[3], a) for r, a in zip(reads, raw_at) if r[2] == c]
+        out += struct.pack("<i", 2) + struct.pack("<Ii", 4681, 1) + struct.pack("<QQ", off(mine[0][1]), off(mine[-1][1]))
+        out += struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 0, len(mine), 0)
+        windows = {}
+        for pos, a in mine:
+            for w in (pos >> 14, pos + 30 >> 14):
+                windows.setdefault(w, off(a))
+        n = max(windows) + 1
+        out += struct.pack("<i", n) + struct.pack(f"<{n}Q", *(windows.get(w, 0) for w in range(n)))
+    with open(path + ".bai", "wb") as f:
+        f.write(out + struct.pack("<Q", 3))
+
+
+def test_region_scans_by_index(spark, tmp_path):
+    g = random.Random(8)
+    contigs = [("c0", 90000), ("c1", 90000)]
+    reads = []
+    for i, (ref, pos) in enumerate(sorted((g.randrange(2), g.randrange(80000)) for _ in range(400))):
+        seq = "".join(g.choice("ACGT") for _ in range(30))
+        reads.append((f"r{i}", 0, ref, pos, [(7, 30)], seq, [30] * 30, b"MMZ" + b"A+a,1,2;T-a,0;C+m,3;\0"))
+    p = str(tmp_path / "s.bam")
+    write_bam(p, contigs, reads)
+    index_bam(p, reads, contigs)
+    bam.register(spark)
+    want = {n for n, _, ref, pos, *_ in reads if ref == 1 and pos < 41000 and pos + 30 > 40000}
+    assert want and {r.read_id for r in spark.read.format("bam").option("contig", "c1").option("start", 40000).option("end", 41000).load(p).collect()} == want
+    reader = bam.BamReader({"path": p, "contig": "c1", "start": "40000", "end": "41000", "splitbytes": "2000"})
+    parts = reader.partitions()
+    seen = sum(1 for part in parts for _ in bam.records(p, part.start, part.stop, contigs))
+    assert parts[0].start >= bam.index_of(p).start_of(1, 40000) and seen < 200 and {r[2] for part in parts for r in reader.read(part)} == want
+    df = spark.read.format("bam").load(p).where("rname = 'c1' and ref_start < 41000 and ref_end > 40000")
+    assert {r.read_id for r in df.collect()} == want
+    assert {(r.rname, r.mapped, r.unmapped) for r in bam.index_counts(spark, p).collect()} == {("c0", sum(r[2] == 0 for r in reads), 0), ("c1", sum(r[2] == 1 for r in reads), 0), (None, 0, 3)}
+    # methylation of real records: three adenine calls of each read over its A and T bases
+    m = {r.read_id: r.m6a for r in alignment.with_methylation(spark.read.format("bam").load(p)).collect()}
+    assert all(abs(m[n] - 3 / (seq.count("A") + seq.count("T"))) < 1e-12 for n, _, _, _, _, seq, *_ in reads)
+    kept, fates = pipeline.filter_reads(spark.read.format("bam").load(p), bam.contigs_of(spark, p), m6a_range=(0.0, 0.2), length_slack=(10**6, 10**6))
+    assert {r.disposition: r.n for r in fates.collect()}["methylation"] == sum(v > 0.2 for v in m.values()) > 0
+
+
+def test_footprints_follow_the_alignment(spark):
+    """Against a walk over the bases, for clips, insertions, deletions and both kinds of tags."""
+    g = random.Random(9)
+    rows, want = [], set()
+    for i in range(200):
+        cig = [(g.choice([4, 7, 7, 8, 1, 2, 3, 0]), g.randrange(1, 12)) for _ in range(g.randrange(1, 9))]
+        start, q, r, to = g.randrange(50), 0, 0, {}
+        r = start
+        for op, n in cig:
+            for _ in range(n):
+                if op in (0, 7, 8):
+                    to[q] = r
+                q += op in (0, 1, 4, 7, 8)
+                r += op in (0, 2, 3, 7, 8)
+        segs = [(g.choice(["nuc", "tf"]), g.randrange(0, 40), g.randrange(1, 30)) for _ in range(3)]
+        by = {t: [(s, n) for x, s, n in segs if x == t] for t in {x for x, *_ in segs}}
+        if i % 3:
+            t = {"MA": "500;" + ";".join(f"{t}+Q:" + ",".join(f"{s + 1}-{n}" for s, n in v) for t, v in by.items())}
+        else:
+            by = {"nuc": by.get("nuc", []), "msp": by.get("tf", [])}
+            t = {a: ",".join(str(x[j]) for x in by[k]) for k, pair in (("nuc", ("ns", "nl")), ("msp", ("as", "al"))) for j, a in enumerate(pair)}
+        rows.append((i, start, cig, t))
+        want |= {(i, k, n, to[x]) for k, v in by.items() for s, n in v for x in range(s, s + n) if x in to}
+    rows += [(900, 0, None, {"MA": "9;nuc:1-5"}), (901, 0, [(7, 9)], {}), (902, None, None, None)]
+    df = spark.createDataFrame(rows, "read_id int, ref_start int, cigar array<struct<op:int,len:int>>, tags map<string,string>")
+    got = alignment.footprints(df).collect()
+    assert {(r.read_id, r.track, r.length, x) for r in got for x in range(r.r_start, r.r_end)} == want
+
+
+def test_small_readers():
+    assert bam.bytes_array(b"") == [] and bam.bytes_array(struct.pack("<3I", 5, 70000, 9)) == [5, 70000, 9]
+    assert bam.bytes_array(struct.pack("<3H", 1, 2, 65535)) == [1, 2, 65535] and bam.bytes_array(struct.pack("<2i", -1, -2)) == [65535, 65535, 65534, 65535]
+
+
 def test_text_sources(spark, tmp_path):
     fa = tmp_path / "x.fa"
     fa.write_text(">chr1 one\nACGT\nac\n>chrUn_2\nAAA\n>p\nG\n")

@@ -122,3 +122,37 @@ def test_union_takes_calls_of_any_width(spark, monkeypatch):
     rows = [("L", "nuc", 0, 499, 500), ("L", "nuc", 450, 520, None), ("L", "TF", 5, 30, 26)]
     monkeypatch.setattr(ordered.V, "cluster_rows", lambda s, d: s.createDataFrame(rows, "library string, bin string, abs_start int, abs_end int, width int"))
     assert {tuple(r) for r in ordered.interval_union_merge(spark, "").collect()} == {("L", "nuc", 0, 520), ("L", "TF", 5, 30)}
+
+
+def test_percentiles_by_ranges(spark):
+    import numpy as np
+
+    from occuspan.operators.aggregates import percentiles
+
+    r = np.random.default_rng(0)
+    rows = [(k, float(v)) for k, n in (("a", 500), ("b", 1), (None, 40)) for v in np.round(r.normal(0, 5, n) ** 3, 1)] + [("same", 2.5)] * 30 + [("a", None), ("none", None), ("a", float("nan"))]
+    got = {x.k: (x.n, x.p) for x in percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", (0.0, 0.25, 0.5, 0.99, 1.0), buckets=16).collect()}
+    by = {}
+    for k, v in rows:
+        if v is not None and v == v:
+            by.setdefault(k, []).append(v)
+    assert set(got) == set(by)
+    for k, v in by.items():
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.percentile(v, [0, 25, 50, 99, 100]))
+
+
+def test_nearest_of_a_list(spark):
+    import random
+
+    from occuspan.operators import joins
+
+    g = random.Random(1)
+    grid = [g.randrange(500) for _ in range(40)]
+    rows = [(i, g.randrange(-20, 540) if i % 9 else None) for i in range(200)]
+    want = {i: None if x is None else min(set(grid), key=lambda v: (abs(v - x), v)) for i, x in rows}
+    a, b = spark.createDataFrame(rows, "i int, x int"), spark.createDataFrame([(v,) for v in grid] + [(None,)], "v int")
+    for most in (100_000, 3):  # the list rides along, or rows and values are dealt to blocks
+        got = {r.i: r.nearest for r in joins.nearest_of_few(a.where("x is not null"), b, "x", "v", most).collect()}
+        assert got == {i: float(v) for i, v in want.items() if v is not None}
+    near = joins.nearest(a.where("x is not null").withColumn("k", a.i * 0), b.withColumn("k", b.v * 0), ["k"], "x", "v", 3).collect()
+    assert {r.i: r.nearest for r in near} == {i: float(v) if abs(v - dict(rows)[i]) <= 3 else None for i, v in want.items() if v is not None}
