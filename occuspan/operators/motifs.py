@@ -50,13 +50,18 @@ def motif_flag_of(cfg: MotifConfig) -> Column:
 
 
 def annotated(spark, d) -> DataFrame:
-    """Calls with their variant's 0-based position, alternative base and q-value in the library."""
+    """The table's calls with their variant's position, alternative base and q-value in the library."""
     c = V.cluster_rows(spark, d).drop("is_motif", "variant_distance", "variant_overlap")
+    return annotate(c, table(spark, d, "variant_summary"))
+
+
+def annotate(c: DataFrame, summary: DataFrame) -> DataFrame:
+    """Calls (``library, variant_id, abs_start, abs_end, ...``) with their variant's 0-based position, alternative base, distance and ``variant_fdr_q``."""
     p = tags.parse_variant_id(F.col("variant_id"))
     c = c.withColumn("pos0", p["position"] - 1).withColumn("alt", F.upper(p["alt"])).withColumn("kind", p["change_type"])
     dist = causal_distance(F.col("pos0"), F.col("abs_start"), F.col("abs_end"))
     c = c.withColumn("distance", dist).withColumn("variant_overlap", dist == 0)
-    q = table(spark, d, "variant_summary").select("library", "variant_id", "variant_fdr_q")
+    q = summary.select("library", "variant_id", "variant_fdr_q")
     return c.join(q, ["library", "variant_id"], "left")
 
 
@@ -85,6 +90,14 @@ def intervals_of(dens: DataFrame, cfg: MotifConfig) -> DataFrame:
     return runs(dens, ["library", "bin"], F.col("density") >= cfg.density, cfg.min_width)
 
 
+def with_variants(motifs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Motif intervals with their width and the variants whose motif calls overlap them."""
+    j = overlap_join(motifs, calls.select("library", "bin", "variant_id", "abs_start", "abs_end"), ["library", "bin"], ("start", "end"), ("abs_start", "abs_end"))
+    ids = F.array_sort(F.collect_set("b_variant_id"))
+    g = j.groupBy("library", "bin", "start", "end", "peak_density").agg(ids.alias("variant_ids"))
+    return g.select("library", "bin", "start", "end", (F.col("end") - F.col("start") + 1).alias("width"), "peak_density", F.size("variant_ids").alias("n_variants"), "variant_ids")
+
+
 def sensitivity(motifs: DataFrame, calls: DataFrame) -> DataFrame:
     """Count and mean signed effect by motif, offset and alternative base; a variant counts by its strongest call on the motif."""
     j = overlap_join(calls, motifs, ["library", "bin"], ("abs_start", "abs_end"), ("start", "end"))
@@ -149,6 +162,13 @@ def motif_intervals(spark, d):
     return _motifs(annotated(spark, d))
 
 
+def motif_variants(spark, d):
+    """Motif intervals with their contributing variants."""
+    c = annotated(spark, d)
+    m = with_variants(_motifs(c), motif_calls(c, CFG))
+    return m.select("library", "bin", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n_variants", F.array_join("variant_ids", "|").alias("ids"))
+
+
 def motif_sensitivity(spark, d):
     c = annotated(spark, d)
     return sensitivity(_motifs(c), motif_calls(c, CFG)).withColumn("mean_delta", F.round("mean_delta", 9))
@@ -170,7 +190,7 @@ def join_site_pairs_theta(spark, d):
     return pairs_of(s, site1_of(c, s, CFG), CFG)
 
 
-QUERIES = {f.__name__: f for f in (motif_flag, cluster_causal_distance, reference_self_check, disruption_density, motif_intervals, motif_sensitivity, canonical_sites, assign_site1, join_site_pairs_theta)}
+QUERIES = {f.__name__: f for f in (motif_flag, cluster_causal_distance, reference_self_check, disruption_density, motif_intervals, motif_variants, motif_sensitivity, canonical_sites, assign_site1, join_site_pairs_theta)}
 
 _A = r"""an0 as (select c.*, cast(nullif(regexp_extract(variant_id, '^(\d+):', 1), '') as int) - 1 as pos0,
     upper(regexp_extract(variant_id, '>([ACGTacgt])', 1)) as snv_alt, regexp_matches(variant_id, '^\d+:[ACGTacgt]>[ACGTacgt]') as snv from cluster_rows c),
@@ -210,6 +230,11 @@ ORACLES = {
     ),
     "disruption_density": V.sql("cluster_rows", f"with {_D} select * from dens"),
     "motif_intervals": V.sql("cluster_rows", f"with {_I} select * from mo"),
+    "motif_variants": V.sql(
+        "cluster_rows",
+        f"""with {_I} select mo.library, mo.bin, cast(mo.start as int) as start, cast(mo."end" as int) as "end", cast(count(distinct variant_id) as int) as n_variants, string_agg(distinct variant_id, '|' order by variant_id) as ids
+from mo join mc on mc.library = mo.library and mc.bin = mo.bin and abs_start <= mo."end" and mo.start <= abs_end group by 1, 2, 3, 4""",
+    ),
     "motif_sensitivity": V.sql(
         "cluster_rows",
         f"""with {_I}, b as (select mo.library, mo.bin, mo.start, a.pos0, a.snv_alt, a.mean_signed_delta as eff, row_number() over (partition by mo.library, mo.bin, mo.start, a.variant_id

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occuspan.functions import tags
-from occuspan.operators import aggregates, alignment, barcode_clusters, calling, filters, kernels, occupancy
+from occuspan.operators import aggregates, alignment, barcode_clusters, calling, cooccupancy, filters, kernels, motifs, occupancy
 from occuspan.session import written
 
 
@@ -58,15 +58,39 @@ def call_stage(reads: DataFrame, ref: str, cfg: CallConfig) -> dict[str, DataFra
     return {"tagged": tagged, "clusters": res, "exclusions": calls.groupBy("status", "bc_status").count()}
 
 
-def library_tables(mols_nc: DataFrame, segs: DataFrame, cfg: kernels.NullConfig) -> dict[str, DataFrame]:
-    """Stage three: the tables of a library, ready for :func:`occuspan.sources.sinks.write_store`."""
+def library_tables(mols_nc: DataFrame, segs: DataFrame, cfg: kernels.NullConfig, calls: DataFrame | None = None, library: str = "library", motif_cfg: motifs.MotifConfig = motifs.MotifConfig(), pair_cfg: cooccupancy.PairConfig = cooccupancy.PairConfig()) -> dict[str, DataFrame]:
+    """Stage three: the tables of a library, ready for :func:`occuspan.sources.sinks.write_store`.
+
+    ``calls`` are the reads' raw variant calls (``read_id, ids``) for the screen of pairs; without them every read is clean.
+    """
     pack = written(kernels.packed(mols_nc, segs, cfg))
     tests = written(kernels.variant_tests(pack, cfg))
+    summary = written(kernels.summary(tests).drop("bins", "clusters").withColumn("library", F.lit(library)))
     occ = occupancy.occupancy(mols_nc, segs)
+    bins = tests.select("variant_id", F.explode("bins").alias("b"))
+    c = tests.select("variant_id", F.explode("clusters").alias("c")).select("variant_id", "c.*")
+    c = c.withColumn("library", F.lit(library)).withColumn("width", F.col("abs_end") - F.col("abs_start") + 1)
+    # a call's number follows its variant, bin and place
+    c = c.withColumn("cluster_id", F.xxhash64("variant_id", "bin", "abs_start"))
+    ann = written(motifs.annotate(c, summary).withColumn("is_motif", motifs.motif_flag_of(motif_cfg)))
+    hits = motifs.motif_calls(ann, motif_cfg)
+    found = written(motifs.intervals_of(motifs.density(hits), motif_cfg))
+    sites = written(motifs.sites_of(ann, found, motif_cfg))
+    inst = written(motifs.site1_of(ann, sites, motif_cfg))
+    pairs = written(cooccupancy.pairs_with_instruments(sites, inst, motif_cfg))
+    sets = written(cooccupancy.site_sets(mols_nc, segs, sites, calls, pair_cfg, cfg.window))
+    pair_tests = cooccupancy.tests(written(cooccupancy.pair_counts(sets, pairs)), pair_cfg)
+    if calls is not None:
+        pair_tests = pair_tests.join(cooccupancy.secondary_frequency(sets, calls, sites, pairs, pair_cfg), ["site1", "site2"], "left")
     return {
         "ground_truth_nc": occupancy.nc_distribution(mols_nc),
         "wt_occupancy": occ.where("variant_id = 'WT'"),
-        "variant_summary": kernels.summary(tests).drop("bins", "clusters"),
-        "variant_bin": tests.select("variant_id", F.explode("bins").alias("b")).select("variant_id", "b.*"),
-        "clusters": tests.select("variant_id", F.explode("clusters").alias("c")).select("variant_id", "c.*"),
+        "null_calibration": bins.select("variant_id", "b.bin", "b.null_mean", "b.null_std", "b.null_p95"),
+        "variant_summary": summary,
+        "variant_bin": bins.select("variant_id", "b.*").drop("null_mean", "null_std", "null_p95"),
+        "clusters": ann,
+        "motifs": motifs.with_variants(found, hits),
+        "sensitivity": motifs.sensitivity(found, hits),
+        "sites": sites,
+        "cooccupancy": pair_tests,
     }
