@@ -126,13 +126,14 @@ def levenshtein_pairs(bcs: DataFrame, limit: int = 2) -> DataFrame:
     """``a, b, dist`` of distinct barcodes within a distance of 1 or 2, a < b.
 
     Barcodes meet where they share a string of up to ``limit`` deletions, an equality join, and the distance is
-    then computed; every pair within the limit shares one. Nulls are left out.
+    then computed; every pair within the limit shares one. Nulls are left out. The keys are always sorted and merged:
+    Spark takes their size for that of the barcodes, of which each becomes up to 120 keys, and would broadcast them.
     """
     keys = deletions(F.col("barcode")) if limit == 1 else deletions2(F.col("barcode"))
     # a number of partitions and not a size: each short string becomes very many keys
     one = bcs.where("barcode is not null").select("barcode").distinct().repartition(shuffle_partitions(bcs.sparkSession))
     k = one.select("barcode", F.explode(keys).alias("key"))
-    p = k.select("key", F.col("barcode").alias("a")).join(k.select("key", F.col("barcode").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    p = k.select("key", F.col("barcode").alias("a")).join(k.select("key", F.col("barcode").alias("b")).hint("merge"), "key").where("a < b").select("a", "b").distinct()
     return p.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= limit)
 
 

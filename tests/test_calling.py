@@ -110,6 +110,14 @@ def test_pairs_neighbours_and_greedy_clusters(spark):
     assert {r.barcode: r.centroid for r in barcode_clusters.cluster(df, expected=12).collect()} == want
 
 
+def test_deletion_keys_are_never_broadcast(spark, sf):
+    """Spark takes the keys to be as few as the barcodes, so by its estimate it would send them to the driver."""
+    plan = calling.barcode_levenshtein_pairs(spark, sf)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def write_bam(path, contigs, reads, block=300):
     raw = b"BAM\x01" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", len(contigs))
     for n, k in contigs:
