@@ -214,3 +214,10 @@ def test_lexer_bounds():
     assert ("address", "Calle Mayor, 30") in kinds("en Calle Mayor, 30.") and ("address", "人民路12号") in kinds("人民路12号") and ("address", "Feldweg 3") in kinds("am Feldweg 3.")
     assert [n.kind for n in pii.lex("a" * 300 + ".b@x.example")] == ["email"]
     assert pii.Tagger._names("A. van Berg's", pii.lex("A. van Berg's"), [pii.G, pii.FAM]) == [(0, 11, "name")]
+
+
+def test_lower_case_names_do_not_depend_on_the_rest_of_a_text():
+    parts = {"jose", "garcia", "anne-marie", "smith"}
+    for name in ("josé garcía", "anne-marie garcía"):
+        alone, more = pii.lex(f"i met {name} today", parts), pii.lex(f"i met {name} today. then, in 1999, smith left", parts)
+        assert [n.text for n in alone] == ["met", *name.split(), "today"] == [n.text for n in more][:4]
