@@ -118,6 +118,11 @@ def test_deletion_keys_are_never_broadcast(spark, sf):
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+def test_clusters_meet_keys_without_a_broadcast(spark, sf):
+    plan = barcode_clusters.candidates(barcode_clusters.barcode_table(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+
+
 def write_bam(path, contigs, reads, block=300):
     raw = b"BAM\x01" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", len(contigs))
     for n, k in contigs:
