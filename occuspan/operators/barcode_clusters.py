@@ -2,7 +2,8 @@
 
 A barcode waits until every barcode of higher rank that it could join has been decided; all others are decided at
 once. So no group of barcodes is ever gathered in one task, however they hang together, and the outcome is that
-of the sequential rule.
+of the sequential rule. All joins are by sorting and merging: Spark would take the size of a compressed file for that of
+its rows, and send barcodes and molecules to the driver in every round.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from occuspan.session import Written, written
 from occuspan.sources import views as V
 
 
+def meet(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast, whatever Spark takes the sides' sizes to be."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def candidates(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) -> DataFrame:
     """``bc, c, near, compatible``: each barcode with those of higher rank within its distance.
 
@@ -26,7 +32,7 @@ def candidates(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) ->
     p = levenshtein_pairs(bcs)
     x = bcs.select(F.col("barcode").alias("a"), F.struct(-F.col("reads"), "first").alias("ra"), F.col("ids").alias("ia"))
     y = bcs.select(F.col("barcode").alias("b"), F.struct(-F.col("reads"), "first").alias("rb"), F.col("ids").alias("ib"))
-    j = p.join(x, "a").join(y, "b")
+    j = meet(meet(p, x, "a"), y, "b")
     up = F.col("ra") < F.col("rb")
     i, u = F.size(F.array_intersect("ia", "ib")), F.size(F.array_union("ia", "ib"))
     ok = F.when((F.size("ia") == 0) | (F.size("ib") == 0), (F.size("ia") == 0) & (F.size("ib") == 0)).otherwise(i / u >= min_jaccard)
@@ -46,24 +52,24 @@ def cluster(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) -> Dat
     cand = written(candidates(bcs, expected, min_jaccard))
     linked = cand.select(F.col("bc").alias("barcode")).distinct()
     # a barcode that could join nobody is a centroid from the start
-    done = [written(bcs.join(linked, "barcode", "left_anti").select("barcode", F.col("barcode").alias("centroid")))]
+    done = [written(meet(bcs, linked, "barcode", "left_anti").select("barcode", F.col("barcode").alias("centroid")))]
     open_ = Written(linked)
     while not open_.df.isEmpty():
-        waits = cand.join(open_.df.select(F.col("barcode").alias("c")), "c").select(F.col("bc").alias("barcode")).distinct()
-        ready = open_.df.join(waits, "barcode", "left_anti")
+        waits = meet(cand, open_.df.select(F.col("barcode").alias("c")), "c").select(F.col("bc").alias("barcode")).distinct()
+        ready = meet(open_.df, waits, "barcode", "left_anti")
         heads = reduce(DataFrame.unionByName, done).where("barcode = centroid").select(F.col("barcode").alias("c"))
-        c = cand.join(heads, "c").join(ready.select(F.col("barcode").alias("bc")), "bc")
+        c = meet(meet(cand, heads, "c"), ready.select(F.col("barcode").alias("bc")), "bc")
         g = c.groupBy("bc").agg(
             F.min_by(F.struct("c", "compatible"), F.when(F.col("near"), F.col("rank_c"))).alias("first_near"),
             F.min_by("c", F.when(F.col("compatible"), F.col("rank_c"))).alias("first_ok"),
         )
         pick = F.when(F.col("first_near.compatible"), F.col("first_near.c")).otherwise(F.col("first_ok"))
-        now = ready.join(g.select(F.col("bc").alias("barcode"), pick.alias("to")), "barcode", "left").select("barcode", F.coalesce("to", "barcode").alias("centroid"))
+        now = meet(ready, g.select(F.col("bc").alias("barcode"), pick.alias("to")), "barcode", "left").select("barcode", F.coalesce("to", "barcode").alias("centroid"))
         new = written(now)
         done.append(new)
         if len(done) > 20:  # many short rounds: their tables become one, so a plan stays small
             done = [done[0], written(reduce(DataFrame.unionByName, done[1:]))]
-        left = Written(open_.df.join(new.select("barcode"), "barcode", "left_anti"))
+        left = Written(meet(open_.df, new.select("barcode"), "barcode", "left_anti"))
         open_.drop()
         open_ = left
     return reduce(DataFrame.unionByName, done)
@@ -71,7 +77,7 @@ def cluster(bcs: DataFrame, expected: int = 15, min_jaccard: float = 0.5) -> Dat
 
 def barcode_table(spark, d) -> DataFrame:
     """Derived barcodes with their reads, first appearance and variants."""
-    b = V.barcodes(spark, d).join(V.molecules(spark, d).select("read_id", "variant_id"), "read_id")
+    b = meet(V.barcodes(spark, d), V.molecules(spark, d).select("read_id", "variant_id"), "read_id")
     ids = F.array_compact(F.array_sort(F.collect_set(F.when(F.col("variant_id") != "WT", F.col("variant_id")))))
     return b.groupBy("barcode").agg(F.count(F.lit(1)).alias("reads"), F.min("read_id").alias("first"), ids.alias("ids"))
 
@@ -85,4 +91,4 @@ def barcode_clusters(spark, d):
 QUERIES = {"barcode_clusters": barcode_clusters}
 ORACLES: dict[str, str] = {}
 
-__all__ = ["QUERIES", "candidates", "cluster"]
+__all__ = ["QUERIES", "candidates", "cluster", "meet"]

@@ -118,6 +118,21 @@ def test_deletion_keys_are_never_broadcast(spark, sf):
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+def test_clusters_broadcast_nothing(spark, sf, monkeypatch):
+    """Neither the table of barcodes nor any round's join sends rows to the driver."""
+    plans, write = [], barcode_clusters.written
+
+    def seen(df):
+        out = write(df)
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(barcode_clusters, "written", seen)
+    assert barcode_clusters.barcode_clusters(spark, sf).count() > 0
+    assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_clusters_meet_keys_without_a_broadcast(spark, sf):
     plan = barcode_clusters.candidates(barcode_clusters.barcode_table(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
